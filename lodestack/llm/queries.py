@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, toxicity, wavelet
+from . import fingerprint, langid, ngramjoin, toxicity, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,15 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs.select("doc_id", "text"), model).select("doc_id", "toxic_score", "toxic")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.identified(docs.select("doc_id", "text"), langid.fitted(docs)).select("doc_id", "lang_found", "bits_per_byte", "margin_bits")
+
+
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.jaccard_pairs(_table(spark, sf_dir, "documents"))
+
+
 SQL_OP3 = f"""
 WITH w AS (
   SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS w FROM documents
@@ -40,7 +49,7 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, list_sort(list_transform(list_di
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_wavelet_shards, op3_scaled_sketch, op5_toxicity)}
+    return {f.__name__: f for f in (op1_wavelet_shards, op3_scaled_sketch, op5_toxicity, op9_language_id, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
