@@ -24,12 +24,12 @@ from pyspark.sql import types as T
 from .common import mixed
 
 #: Labelled rows that are read to train on, toxic ones and clean ones: the documented bounds.
-SAMPLE, CLEAN_SAMPLE = 3000, 9000
+SAMPLE, CLEAN_SAMPLE = 2000, 6000
 BUCKETS, DIM, LENGTHS = 1 << 17, 12, (3, 4, 5)
-#: A text of fewer words is averaged as if neutral words filled it up, so that a few words of chance don't decide.
-LEAST_WORDS = 64
+#: A text of fewer words is filled up with a word of its own, so that a few words of chance don't decide.
+LEAST_WORDS, FILLER = 64, ""
 #: A clean text rejected weighs as many toxic ones missed.
-CLEAN_COUNTS = 3
+CLEAN_COUNTS = 5
 #: Distinct words of which a worker remembers the score.
 CACHED_WORDS = 200_000
 #: Punctuation that parts words like white space does.
@@ -105,10 +105,12 @@ class Model:
             get = known.__getitem__
         else:
             get = (known | values).__getitem__
+        filler = float(self.words([FILLER])[0])
         out: list[float | None] = []
         for counts in split:
             weights = [*map(damped, counts.values())]
-            margin = sum(map(mul, map(get, counts), weights)) / max(sum(weights), LEAST_WORDS) + self.bias
+            n = sum(weights)
+            margin = (sum(map(mul, map(get, counts), weights)) + max(LEAST_WORDS - n, 0) * filler) / max(n, LEAST_WORDS) + self.bias
             out.append(1 / (1 + exp(-min(max(margin, -60), 60))) if counts else None)
         return out
 
@@ -121,25 +123,40 @@ def train(texts: list[str], labels: list[int], buckets: int = BUCKETS, dim: int
     gets is a number times the difference of the output vectors, and a text's margin a sum of
     such numbers. Texts without words are left out. With one class only, the model answers that class.
     """
-    keep = [(w, int(y)) for t, y in zip(texts, labels, strict=True) if (w := tokens(t))]
-    y = np.array([k[1] for k in keep], np.float64)
-    if len(set(y.tolist())) < 2:
-        return Model(np.zeros(buckets, np.float32), 10.0 if len(y) and y[0] == 1 else -10.0)
-    vocabulary = {w: i for i, w in enumerate(sorted(set().union(*(k[0] for k in keep))))}
-    grams, who = bags(list(vocabulary), buckets)
-    order = np.argsort(who, kind="stable")
-    grams, size = grams[order].astype(np.int32), np.bincount(who, minlength=len(vocabulary))
+    # a text is kept as numbers of words, and a word once as the buckets of its n-grams
+    vocabulary: dict[str, int] = {}
+    docs: list[tuple[np.ndarray, np.ndarray]] = []
+    kept = []
+    for text, label in zip(texts, labels, strict=True):
+        counts = Counter(tokens(text))
+        if not counts:
+            continue
+        part = np.fromiter(map(damped, counts.values()), np.float32, len(counts))
+        if part.sum() < LEAST_WORDS:
+            counts[FILLER], part = 1, np.append(part, np.float32(LEAST_WORDS - part.sum()))
+        docs.append((np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in counts), np.int32, len(counts)), part / part.sum()))
+        kept.append(int(label))
+    y = np.array(kept, np.float64)
+    if len(set(kept)) < 2:
+        return Model(np.zeros(buckets, np.float32), 10.0 if kept and kept[0] == 1 else -10.0)
+    words, pieces = list(vocabulary), []
+    del vocabulary
+    for k in range(0, len(words), 20_000):
+        grams, who = bags(words[k : k + 20_000], buckets)
+        pieces.append((grams[np.argsort(who, kind="stable")].astype(np.int32), np.bincount(who)))
+    del words
+    grams, size = np.concatenate([p[0] for p in pieces]), np.concatenate([p[1] for p in pieces])
     at = np.cumsum(size) - size
-    docs = []
-    for words, _ in keep:
-        counts = Counter(words)
-        ids = np.fromiter((vocabulary[w] for w in counts), np.int64, len(counts))
-        part = np.fromiter(map(damped, counts.values()), np.float64, len(counts))
-        part /= max(part.sum(), LEAST_WORDS) * size[ids]
+
+    def spread(ids: np.ndarray) -> np.ndarray:
+        """The buckets of words ids, word by word."""
         n = size[ids]
-        docs.append((grams[np.repeat(at[ids] - np.cumsum(n) + n, n) + np.arange(n.sum())], np.repeat(part, n).astype(np.float32)))
-    length = np.array([len(d[0]) for d in docs])
-    known = np.bincount(np.concatenate([np.unique(d[0]) for d in docs]), minlength=buckets) >= max(1, min(least_docs, len(docs) // 200))
+        return grams[np.repeat(at[ids] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+    known = np.zeros(buckets, np.int64)
+    for ids, _ in docs:
+        known[np.unique(spread(ids))] += 1
+    known = known >= max(1, min(least_docs, len(docs) // 200))
     rng = np.random.default_rng(seed)
     emb, out, bias = rng.normal(0, 0.01, (buckets, dim)) * known[:, None], rng.normal(0, 0.3, (dim, 2)), np.zeros(2)
     share = np.bincount(y.astype(int), minlength=2) / len(y)
@@ -149,11 +166,13 @@ def train(texts: list[str], labels: list[int], buckets: int = BUCKETS, dim: int
         step, turn = rate * (1 - epoch / epochs), rng.permutation(len(docs))
         for k in range(0, len(turn), 64):
             batch = turn[k : k + 64]
-            g, w = np.concatenate([docs[i][0] for i in batch]), np.concatenate([docs[i][1] for i in batch])
+            ids = np.concatenate([docs[i][0] for i in batch])
+            g, w = spread(ids), np.repeat(np.concatenate([docs[i][1] for i in batch]) / size[ids], size[ids])
+            length = np.add.reduceat(size[ids], np.cumsum([0, *(len(docs[i][0]) for i in batch[:-1])]))
             toward = out[:, 1] - out[:, 0]
-            margin = np.add.reduceat(w * (emb @ toward)[g], np.cumsum(length[batch]) - length[batch]) + bias[1] - bias[0]
+            margin = np.add.reduceat(w * (emb @ toward)[g], np.cumsum(length) - length) + bias[1] - bias[0]
             error = (1 / (1 + np.exp(-np.clip(margin, -60, 60))) - y[batch]) * weight[batch]
-            pull = np.bincount(g, w * np.repeat(error, length[batch]), buckets) * known
+            pull = np.bincount(g, w * np.repeat(error, length), buckets) * known
             slope, lean = emb.T @ pull, error.sum()
             gathered += pull**2
             slopes += slope**2
