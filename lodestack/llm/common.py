@@ -11,7 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 #: The default vocabulary; every operator that tokenises takes another path as a parameter.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -79,6 +79,18 @@ def with_token_counts(df: DataFrame, text_col: str, out: str, tokenizer: str = T
     return df.select(*keep, df[text_col].cast("string").alias("__text")).mapInArrow(run, schema)
 
 
+def token_count(text_col: str, tokenizer: str = TOKENIZER) -> Column:
+    """The exact number of tokens of a column beside others that needn't reach Python; null and empty texts have 0."""
+    from pyspark.sql import functions as F
+
+    @F.arrow_udf("bigint")
+    def run(texts: pa.Array) -> pa.Array:
+        count = words_of(tokenizer).count
+        return pa.array([count(t) for t in texts.to_pylist()], pa.int64())
+
+    return run(F.col(text_col).cast("string"))
+
+
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 

@@ -15,14 +15,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mixed, written
 
 #: Entries of a filter's bucket; its load before it is made twice as large; lines a shard is meant to have.
 SLOTS, LOAD, SHARD_LINES = 4, 0.85, 1 << 16
-#: Lines with fewer characters, white space at the ends left aside, are kept wherever they are.
+#: Lines with fewer characters, spaces at the ends left aside, are kept wherever they are.
 SHORTEST = 1
 
 
@@ -35,17 +35,15 @@ class CuckooFilter:
 
     def __init__(self, capacity: int = 1024):
         n = 1 << max(2, int(np.ceil(np.log2(max(1, capacity) / LOAD / SLOTS))))
-        self.table, self.spill = np.zeros((n, SLOTS), np.uint16), np.empty(0, np.uint64)
+        self.table = np.zeros((n, SLOTS), np.uint16)
 
     def to_bytes(self) -> bytes:
-        return np.array([len(self.table), len(self.spill)], "<u8").tobytes() + self.spill.astype("<u8").tobytes() + self.table.astype("<u2").tobytes()
+        return self.table.astype("<u2").tobytes()
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> CuckooFilter:
-        out = cls(0)
-        n, k = (int(x) for x in np.frombuffer(raw[:16], "<u8"))
-        out.spill = np.frombuffer(raw[16 : 16 + 8 * k], "<u8").copy()
-        out.table = np.frombuffer(raw[16 + 8 * k :], "<u2").reshape(n, SLOTS).copy()
+        out = cls.__new__(cls)
+        out.table = np.frombuffer(raw, "<u2").reshape(-1, SLOTS).copy()
         return out
 
     def _places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,18 +58,14 @@ class CuckooFilter:
 
     def may_have(self, h: np.ndarray) -> np.ndarray:
         prints, a, b = self._places(h)
-        found = (self.table[a] == prints[:, None]).any(1) | (self.table[b] == prints[:, None]).any(1)
-        return found | np.isin(h.astype(np.uint64), self.spill)
+        return (self.table[a] == prints[:, None]).any(1) | (self.table[b] == prints[:, None]).any(1)
 
     def add(self, h: np.ndarray) -> None:
-        """Adds hashes that aren't in it; rounds of moves, and what finds no room lies in a list beside the table."""
+        """Adds hashes that aren't in it; raises OverflowError, and is then of no more use, if they find no room."""
         h = np.unique(h.astype(np.uint64))
         prints, at, _ = self._places(h)
         rng = np.random.default_rng(len(h))
-        whole = h.copy()
         for turn in range(200):
-            if not len(prints):
-                return
             if turn % 2 == 1:
                 at = self._other(at, prints)
             # one newcomer a bucket at a time goes to its first free slot
@@ -87,17 +81,17 @@ class CuckooFilter:
                 left[idx] = False
                 if not len(idx):
                     break
-            prints, at, whole = prints[left], at[left], whole[left]
-            if turn >= 1 and len(prints):
-                # the rest, one a bucket, each turn a sitting print out to its other bucket
+            prints, at = prints[left], at[left]
+            if not len(prints):
+                return
+            if turn >= 1:
+                # of the rest, one a bucket turns a sitting print out to its other bucket
                 _, first = np.unique(at, return_index=True)
                 slot = rng.integers(0, SLOTS, len(first))
                 out = self.table[at[first], slot]
                 self.table[at[first], slot] = prints[first]
                 prints[first] = out
-                whole[first] = 0  # a print that was turned out can't be named by its hash
-        # no room: names are known only for those never moved; the table is then made larger by the caller
-        raise OverflowError(int(len(prints)))
+        raise OverflowError(len(prints))
 
     def drop(self, h: np.ndarray) -> None:
         """Removes hashes that are in it, one entry each."""
@@ -105,10 +99,8 @@ class CuckooFilter:
         prints, a, b = self._places(h)
         left = np.ones(len(h), bool)
         for at in (a, b):
-            for _ in range(SLOTS * 4):
+            while True:
                 idx = np.flatnonzero(left)
-                if not len(idx):
-                    return
                 hit = self.table[at[idx]] == prints[idx][:, None]
                 idx, slot = idx[hit.any(1)], hit.argmax(1)[hit.any(1)]
                 if not len(idx):
@@ -130,18 +122,21 @@ def filter_of(h: np.ndarray) -> CuckooFilter:
             size *= 2
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str, shortest: int = SHORTEST) -> DataFrame:
-    """id, at, h: each line that takes part, by place and hash; null texts have none."""
-    one = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("at", "line"))
-    return one.withColumn("line", F.trim("line")).filter(F.length("line") >= shortest).select("id", "at", F.xxhash64("line").alias("h"))
+def _keys(id_col: str, text_col: str) -> list:
+    """What names a row: its id, and the hash of its text for rows that share an id."""
+    return [F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("th")]
 
 
-def n_shards(n_lines: int) -> int:
-    return max(1, -(-n_lines // SHARD_LINES))
+def lines_of(docs: DataFrame, id_col: str, text_col: str, shortest: int = SHORTEST) -> DataFrame:
+    """id, th, at, h: each line that takes part, by row, place and hash; null texts have none."""
+    one = docs.select(*_keys(id_col, text_col), F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("at", "line"))
+    return one.withColumn("line", F.trim("line")).filter(F.length("line") >= shortest).select("id", "th", "at", F.xxhash64("line").alias("h"))
 
 
-def with_shard(lines: DataFrame, shards: int) -> DataFrame:
-    return lines.withColumn("shard", F.pmod(F.col("h"), F.lit(shards)).cast("int"))
+def shards_for(docs: DataFrame, text_col: str = "text") -> int:
+    """How many shards keep filters at about SHARD_LINES lines, were no line repeated."""
+    n = docs.agg(F.sum(F.size(F.split(F.col(text_col).cast("string"), "\n", -1)))).first()[0] or 0
+    return max(1, -(-n // SHARD_LINES))
 
 
 class LineStore:
@@ -154,18 +149,17 @@ class LineStore:
     def empty(cls, shards: int) -> LineStore:
         return cls(None, None, shards)
 
-    def probed(self, lines: DataFrame) -> DataFrame:
-        """lines (distinct shard, h) with maybe: whether the shard's filter may know it."""
+    def probed(self, hashes: DataFrame) -> DataFrame:
+        """hashes (distinct shard, h) with maybe: whether the shard's filter may know it."""
         if self.filters is None:
-            return lines.withColumn("maybe", F.lit(False))
-        names = ["shard", "h"]
-        both = lines.select(*names, F.lit(None).cast("binary").alias("payload")).union(self.filters.select("shard", F.lit(None).cast("bigint"), "payload"))
+            return hashes.select("shard", "h", F.lit(False).alias("maybe"))
+        both = hashes.select("shard", "h", F.lit(None).cast("binary").alias("payload")).union(self.filters.select("shard", F.lit(None).cast("bigint"), "payload"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, held = None, None
             for b in batches:
                 shard, payload = b.column(0).to_numpy(), b.column(2)
-                cut = [0, *(np.flatnonzero((shard[1:] != shard[:-1])) + 1).tolist(), len(shard)]
+                cut = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
                 for lo, hi in zip(cut[:-1], cut[1:], strict=True):
                     if lo == hi:
                         continue
@@ -176,36 +170,65 @@ class LineStore:
                     part = b.slice(lo, hi - lo)
                     h = part.column(1).to_numpy().view(np.uint64)
                     maybe = held.may_have(h) if held is not None else np.zeros(len(h), bool)
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(maybe)], names=[*names, "maybe"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(maybe)], names=["shard", "h", "maybe"])
 
         # a shard's filter comes before its lines
         return both.repartition("shard").sortWithinPartitions("shard", F.col("payload").isNull()).mapInArrow(run, "shard int, h bigint, maybe boolean")
 
-    def _changed(self, counts: DataFrame) -> LineStore:
-        """The state after counts (shard, h, n), with n below zero for what goes."""
-        refs = counts if self.refs is None else self.refs.union(counts).groupBy("shard", "h").agg(F.sum("n").alias("n")).filter("n > 0")
-        refs = written(refs, "line-refs")
-        return LineStore(refs, written(filters_of(refs), "line-filters"), self.shards)
+    def _by_line(self, lines: DataFrame) -> DataFrame:
+        """shard, h, first (the first place), n (rows that hold it), times (places)."""
+        one = lines.groupBy("h", "id", "th").agg(F.min("at").alias("at"), F.count("*").alias("times"))
+        found = one.groupBy("h").agg(F.min(F.struct("id", "th", "at")).alias("first"), F.count("*").alias("n"), F.sum("times").alias("times"))
+        return found.withColumn("shard", F.pmod(F.col("h"), F.lit(self.shards)).cast("int"))
 
     def inserted(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST) -> tuple[LineStore, DataFrame]:
-        """The state with these documents, and the lines (id, at, h) that they lose.
+        """The state with these documents, and the lines (id, th, at) that they lose.
 
-        A line goes if a document of the state holds it, or one before it in the batch (by
-        id, place; a null id is first). Its filter rules most of the batch out before refs is read.
+        A line goes if a document of the state holds it, or one before it in the batch (by id,
+        hash of the text, place; a null id is first). The filters rule out most lines of a
+        batch before refs is read, and take in its new ones.
         """
-        lines = with_shard(lines_of(docs, id_col, text_col, shortest), self.shards)
-        first = lines.groupBy("shard", "h").agg(F.min(F.struct("id", "at")).alias("first"), F.countDistinct(F.coalesce("id", F.lit(-(2**63) + 1))).alias("n"))
-        lost = lines.join(first.select("h", "first"), "h").filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("at") == F.col("first.at"))))
-        lost = lost.select("id", "at", "h")
+        lines = lines_of(docs, id_col, text_col, shortest)
+        by = written(self._by_line(lines), "line-batch")
+        new, known = by.select("shard", "h"), None
         if self.refs is not None:
-            known = self.probed(first.select("shard", "h")).filter("maybe").join(self.refs.select("h"), "h", "left_semi").select("h")
-            lost = lost.union(lines.join(known, "h", "left_semi").select("id", "at", "h")).distinct()
-        return self._changed(first.select("shard", "h", "n")), lost
+            known = written(self.probed(new).filter("maybe").join(self.refs.select("h"), "h", "left_semi").select("shard", "h"), "line-known")
+            new = new.join(known.select("h"), "h", "left_anti")
+        again = by.filter("times > 1").select("h", "first")
+        lost = lines.join(again, "h").filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")) & (F.col("at") == F.col("first.at")))).select("id", "th", "at")
+        if known is not None:
+            lost = lost.union(lines.join(known.select("h"), "h", "left_semi").select("id", "th", "at")).distinct()
+        counts = by.select("shard", "h", "n")
+        refs = written(counts if self.refs is None else self.refs.union(counts).groupBy("shard", "h").agg(F.sum("n").alias("n")), "line-refs")
+        return LineStore(refs, self._grown(new, refs), self.shards), lost
+
+    def _grown(self, new: DataFrame, refs: DataFrame) -> DataFrame:
+        """The filters with new hashes; those that would overflow are made anew, and larger, from refs."""
+        if self.filters is None:
+            return written(filters_of(refs), "line-filters")
+
+        def take_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                made = []
+                for payload, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                    if payload is not None and h:
+                        f = CuckooFilter.from_bytes(payload)
+                        try:
+                            f.add(np.array(h, np.int64).view(np.uint64))
+                            payload = f.to_bytes()
+                        except OverflowError:
+                            payload = None
+                    made.append(payload)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["shard", "payload"])
+
+        lists = new.groupBy("shard").agg(F.collect_list("h").alias("h"))
+        tried = written(self.filters.join(lists, "shard", "full").select("shard", "payload", "h").mapInArrow(take_in, "shard int, payload binary"), "line-filters")
+        over = tried.filter("payload IS NULL").select("shard")
+        return written(tried.filter("payload IS NOT NULL").union(filters_of(refs.join(over, "shard", "left_semi"))), "line-filters")
 
     def deleted(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST) -> LineStore:
         """The state without documents that were inserted, given with their texts as they were."""
-        lines = with_shard(lines_of(docs, id_col, text_col, shortest), self.shards)
-        gone = lines.groupBy("shard", "h").agg((-F.countDistinct(F.coalesce("id", F.lit(-(2**63) + 1)))).alias("n"))
+        gone = self._by_line(lines_of(docs, id_col, text_col, shortest)).select("shard", "h", (-F.col("n")).alias("n"))
         refs = written(self.refs.union(gone).groupBy("shard", "h").agg(F.sum("n").alias("n")), "line-refs")
         out = refs.filter("n <= 0").groupBy("shard").agg(F.collect_list("h").alias("h"))
 
@@ -230,3 +253,32 @@ def filters_of(refs: DataFrame) -> DataFrame:
         return pd.DataFrame({"shard": rows["shard"][:1], "payload": [filter_of(rows["h"].to_numpy().view(np.uint64)).to_bytes()]})
 
     return refs.select("shard", "h").groupBy("shard").applyInPandas(build, "shard int, payload binary")
+
+
+def without_lines(docs: DataFrame, lost: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_lines: str | None = None, n_lost: str | None = None) -> DataFrame:
+    """docs with the lost lines (id, th, at) cut from their texts; counts of lines before and lost where columns are named for them."""
+    places = lost.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_list("at").alias("__lost"))
+    rows = docs.select(F.struct(*docs.columns).alias("d"), *_keys(id_col, text_col))
+    found = rows.join(places, F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), "left")
+    lines = F.split(F.col(f"d.{text_col}").cast("string"), "\n", -1)
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("__lost"))
+    text = F.when(F.col("__lost").isNull(), F.col(f"d.{text_col}")).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
+    kept = [F.col(f"d.{c}").alias(c) if c != text_col else text.alias(c) for c in docs.columns if c not in (n_lines, n_lost)]
+    if n_lines:
+        kept.append(F.coalesce(F.when(F.col(f"d.{text_col}").isNotNull(), F.size("lines")), F.lit(0)).cast("bigint").alias(n_lines))
+    if n_lost:
+        kept.append(F.coalesce(F.size("__lost"), F.lit(0)).cast("bigint").alias(n_lost))
+    return found.withColumn("lines", lines).select(*kept)
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST, n_lines: str | None = "n_lines", n_lost: str | None = "n_lost") -> DataFrame:
+    """docs without the lines that an earlier row holds or that stand earlier in the same text: a store's first batch.
+
+    Lines are compared by a 64-bit hash without the spaces at their ends; those with fewer than
+    `shortest` characters (blank ones) always stay. Rows come in the order of their ids, null
+    first, those that share an id in that of their texts' hashes; rows alike in both are one
+    document and lose the same lines. Every row stays, if with an empty text; null texts stay
+    null. n_lines and n_lost (lines before, lines lost) replace columns of these names.
+    """
+    _, lost = LineStore.empty(shards_for(docs, text_col)).inserted(docs, id_col, text_col, shortest)
+    return without_lines(docs, lost, id_col, text_col, n_lines, n_lost)

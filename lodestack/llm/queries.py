@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, langid, ngramjoin, toxicity, wavelet
+from . import ann, chat, fingerprint, langid, linededup, mixing, ngramjoin, packing, toxicity, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,16 +17,36 @@ def op1_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.wavelet_shards(_table(spark, sf_dir, "documents"))
 
 
+def op2_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"))
+
+
 def op3_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.sketches(_table(spark, sf_dir, "documents"))
 
 
+def op4_kmeans_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fitted(docs, _table(spark, sf_dir, "labels"))
     return toxicity.scored(docs.select("doc_id", "text"), model).select("doc_id", "toxic_score", "toxic")
 
 
+def op6_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(_table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_texts(_table(spark, sf_dir, "conversations"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return langid.identified(docs.select("doc_id", "text"), langid.fitted(docs)).select("doc_id", "lang_found", "bits_per_byte", "margin_bits")
@@ -48,9 +68,40 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, list_sort(list_transform(list_di
 """
 
 
+SQL_OP7 = """
+WITH l AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents
+), x AS (
+  SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM l
+), k AS (
+  SELECT doc_id, pos, line, trim(line, ' ') = '' OR row_number() OVER (PARTITION BY trim(line, ' ') ORDER BY doc_id, pos) = 1 AS stays FROM x
+), t AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_lost, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE stays) AS text FROM k GROUP BY doc_id
+)
+SELECT l.doc_id, CASE WHEN l.text IS NOT NULL THEN coalesce(t.text, '') END AS text, CAST(coalesce(t.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(t.n_lost, 0) AS BIGINT) AS n_lost
+FROM l LEFT JOIN t USING (doc_id)
+"""
+
+SQL_OP8 = r"""
+WITH e AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS content,
+    regexp_matches(coalesce(text, ''), '<\\*\|im_(start|end)\|>') OR regexp_matches(coalesce(role, ''), '<\\*\|im_(start|end)\|>|[\n]|\\[n|\\]') AS odd
+  FROM conversations
+), r AS (
+  SELECT conv_id, turn, role, content, odd,
+    CASE WHEN odd THEN replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '|', '\|') ELSE role END AS role_out,
+    CASE WHEN odd THEN regexp_replace(content, '<(\\*)\|(im_start|im_end)\|>', '<\\\1|\2|>', 'g') ELSE content END AS content_out
+  FROM e
+)
+SELECT conv_id, string_agg('<|im_start|>' || role_out || chr(10) || content_out || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, content) AS text,
+  CAST(count(*) AS INT) AS n_turns, CAST(count(*) FILTER (WHERE odd) AS INT) AS n_escaped, CAST(CASE WHEN bool_or(odd) THEN 2 ELSE 1 END AS INT) AS rounds
+FROM r GROUP BY conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_wavelet_shards, op3_scaled_sketch, op5_toxicity, op9_language_id, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_wavelet_shards, op2_bestfit_packing, op3_scaled_sketch, op4_kmeans_tree_neighbours, op5_toxicity, op6_source_mixture, op7_line_dedup, op8_chat_round_trip, op9_language_id, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_scaled_sketch": SQL_OP3}
+    return {"op3_scaled_sketch": SQL_OP3, "op7_line_dedup": SQL_OP7, "op8_chat_round_trip": SQL_OP8}
