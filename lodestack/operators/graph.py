@@ -61,6 +61,11 @@ def within_depth(seeds: DataFrame, edges: DataFrame, depth: int, by: list[str] |
     return seen
 
 
+def _renamed(df: DataFrame) -> DataFrame:
+    """df with columns of its own, for grouping it together with another table made of the same rows."""
+    return df.select(*(F.col(c).alias(c, metadata={}) for c in df.columns)).toDF(*df.columns)
+
+
 def expanded(seeds: DataFrame, edges: DataFrame, depth: int, most: int, strict: bool = False, by: str = "query_id") -> DataFrame:
     """by, qname, pos: seeds, then callees level by level in order, up to `most` more of them.
 
@@ -99,7 +104,7 @@ def expanded(seeds: DataFrame, edges: DataFrame, depth: int, most: int, strict:
         return pd.DataFrame({by: [key[0]] * len(order), "qname": order, "pos": range(1, len(order) + 1)})
 
     kind = seeds.schema[by].dataType.simpleString()
-    return reach.groupBy(by).cogroup(local.groupBy(by)).applyInPandas(fold, f"{by} {kind}, qname string, pos int")
+    return _renamed(reach).groupBy(by).cogroup(_renamed(local).groupBy(by)).applyInPandas(fold, f"{by} {kind}, qname string, pos int")
 
 
 def fused_walk(seeds: DataFrame, edges: DataFrame, scores: DataFrame, depth: int, top_k: int, by: str = "query_id") -> DataFrame:
@@ -131,4 +136,4 @@ def fused_walk(seeds: DataFrame, edges: DataFrame, scores: DataFrame, depth: int
         return pd.DataFrame({by: [key[0]] * len(order), "qname": order, "pos": range(1, len(order) + 1)})
 
     kind = seeds.schema[by].dataType.simpleString()
-    return full.union(short.groupBy(by).cogroup(local.groupBy(by)).applyInPandas(fold, f"{by} {kind}, qname string, pos int"))
+    return full.union(_renamed(short).groupBy(by).cogroup(_renamed(local).groupBy(by)).applyInPandas(fold, f"{by} {kind}, qname string, pos int"))
