@@ -26,8 +26,8 @@ from .common import written
 K, RECALL, CALIBRATION = 10, 0.97, 512
 #: Lloyd iterations a level; leaves relative to the root of the number of vectors; their most, and so the bound of what is broadcast.
 ROUNDS, LEAVES, MOST_LEAVES = 6, 0.5, 1 << 15
-#: Decimals of a similarity by which neighbours are ordered, ties by id.
-DECIMALS = 9
+#: Decimals of a similarity by which neighbours are ordered, ties by id; vectors are sent as 32-bit numbers.
+DECIMALS = 6
 
 
 @dataclass
