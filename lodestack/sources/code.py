@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,25 +17,52 @@ SKIPPED = (".git", "__pycache__", ".venv", "venv", "build", "dist", "site-packag
 LANGUAGES = {".py": "python"}
 
 
-def kept_path(relative: Column) -> Column:
-    """Whether no folder of a relative path is left out; hidden files stay."""
-    parts = F.split(relative, "/")
-    folders = F.slice(parts, 1, F.size(parts) - 1)
-    return ~F.exists(folders, lambda s: s.isin(*SKIPPED) | F.startswith(s, F.lit(".")))
+def kept_folder(name: str) -> bool:
+    return name not in SKIPPED and not name.startswith(".")
 
 
-def scan(spark: SparkSession, root: str, suffix: str = ".py") -> DataFrame:
+def listed(root: str, suffix: str = ".py") -> list[tuple[str, str]]:
+    """(path below root, full path) of source files, by path; folders that are left out aren't listed.
+
+    Spark's own file sources pass over names that begin with a dot or an underscore, and with
+    them every package's __init__.py; so only names are listed here, and contents are read by tasks.
+    """
+    files, base = fs.FileSystem.from_uri(root if "://" in root else str(Path(root).resolve()))
+    if files.get_file_info(base).type == fs.FileType.File:
+        name = base.rsplit("/", 1)[-1]
+        return [(name, base)] if name.endswith(suffix) else []
+    out, folders = [], [base]
+    while folders:
+        for x in files.get_file_info(fs.FileSelector(folders.pop())):
+            if x.type == fs.FileType.Directory and kept_folder(x.base_name):
+                folders.append(x.path)
+            elif x.type == fs.FileType.File and x.base_name.endswith(suffix):
+                out.append((x.path[len(base) :].lstrip("/"), x.path))
+    return sorted(out)
+
+
+def scan(spark: SparkSession, root: str, suffix: str = ".py", per_task: int = 500) -> DataFrame:
     """path (below root), module, src of every source file below root, or of root itself if it is a file.
 
-    Suffixes are compared with case. module is the relative path with its suffix.
+    Root is a folder that all workers see, or the address of one. Suffixes are compared with
+    case; module is the relative path with its suffix; a file that is gone by then has a null src.
     """
-    base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(root)
-    whole = F.regexp_replace("path", "^[a-z]+:/+", "/")
-    at = base if "://" not in base else "/" + base.split("://", 1)[1].lstrip("/")
-    at = str(Path(at).resolve()) if Path(at).exists() else at
-    relative = F.when(F.startswith(whole, F.lit(at + "/")), F.substring(whole, F.lit(len(at) + 2), F.length(whole))).otherwise(F.element_at(F.split(whole, "/"), -1))
-    return raw.select(relative.alias("path"), F.col("content").alias("src")).filter(kept_path(F.col("path"))).select("path", F.col("path").alias("module"), "src")
+    names = listed(root, suffix)
+    where = root if "://" in root else str(Path(root).resolve())
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, _ = fs.FileSystem.from_uri(where)
+        for b in batches:
+            for path, full in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                try:
+                    with files.open_input_stream(full) as f:
+                        raw = f.read()
+                except FileNotFoundError:
+                    raw = None
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([path]), pa.array([raw], pa.binary())], names=["path", "module", "src"])
+
+    rows = spark.createDataFrame(names, "path string, full string").repartition(max(1, -(-len(names) // per_task)))
+    return rows.mapInArrow(read, "path string, module string, src binary")
 
 
 def from_rows(rows: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
