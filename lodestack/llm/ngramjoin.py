@@ -171,7 +171,9 @@ def _blocks(df: DataFrame, n: str, of: str) -> DataFrame:
 def candidates(reps: DataFrame, threshold: float) -> DataFrame:
     """a, b: pairs of representatives with a segment alike that the Hamming bound leaves."""
     keys = reps.select("id", "size", F.explode(F.concat(F.transform("own", lambda k: F.struct(k.alias("key"), F.lit(True).alias("own"))), F.transform("up", lambda k: F.struct(k.alias("key"), F.lit(False).alias("own"))))).alias("k")).select("id", "size", "k.*")
-    groups = written(keys.groupBy("key").agg(F.collect_list(F.struct("id", "size", "own")).alias("m")).filter(F.size("m") > 1), "segments")
+    # near copies share most segments, and mostly the same least member: put together by it, a pair that is found in many segments is counted out before it is sent on
+    groups = keys.groupBy("key").agg(F.collect_list(F.struct("id", "size", "own")).alias("m")).filter(F.size("m") > 1)
+    groups = written(groups.withColumn("least", F.array_min(F.transform("m", lambda x: x["id"]))).repartition("least"), "segments")
     few = groups.filter(F.size("m") <= LISTED).select(F.explode("m").alias("x"), "m")
     few = few.select("x", F.explode(F.filter("m", lambda y: (y["id"] > F.col("x.id")) & (F.least(y["size"], F.col("x.size")) >= threshold * F.greatest(y["size"], F.col("x.size"))) & (y["own"] | F.col("x.own")))).alias("y"))
     few = few.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
@@ -182,21 +184,45 @@ def candidates(reps: DataFrame, threshold: float) -> DataFrame:
     pick = lambda s, up, c: F.when(up, F.col(f"{s}_up_{c}")).otherwise(F.col(f"{s}_own_{c}"))
     top = F.greatest("a_band", "b_band")
     few = _compared(both.select("a", "b", pick("a", up_a, "bits").alias("x_bits"), pick("b", up_b, "bits").alias("y_bits"), pick("a", up_a, "n").alias("x_n"), pick("b", up_b, "n").alias("y_n"), (F.pow(F.lit(1 / threshold), top) > THINNED).alias("thinned")), threshold)
-    many = groups.filter(F.size("m") > LISTED).select("key", F.ceil(F.size("m") / BLOCK).cast("int").alias("n_blocks"), F.explode("m").alias("m")).select("key", "n_blocks", "m.id", "m.own")
+    many = groups.filter(F.size("m") > LISTED).select("key", F.ceil(F.size("m") / BLOCK).cast("int").alias("n_blocks"), "least", F.explode("m").alias("m")).select("key", "n_blocks", "least", "m.id", "m.own")
     many = many.join(reps.drop("own", "up"), "id")
     j = F.floor(F.log(F.col("size") + 1e-9) / thin) + F.when(F.col("own"), 0).otherwise(1)
     many = many.withColumns({"bits": F.when(F.col("own"), F.col("own_bits")).otherwise(F.col("up_bits")), "n": F.when(F.col("own"), F.col("own_n")).otherwise(F.col("up_n")), "thinned": F.pow(F.lit(1 / threshold), j) > THINNED})
-    many = _blocks(many, "n_blocks", "id").select("key", "bi", "bj", "side", "id", "size", "bits", "n", "thinned").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    many = _blocks(many, "n_blocks", "id").repartition("least", "bi", "bj").select("key", "bi", "bj", "side", "id", "size", "bits", "n", "thinned").sortWithinPartitions("key", "bi", "bj")
     return few.union(_near_in_segment(many, threshold)).distinct()
 
 
+def forest(edges: DataFrame) -> DataFrame:
+    """u, v (u < v): edges with the same components, at most one for each node in a partition; edges: a, b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = x = up.get(y, y)
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = root(a), root(b)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+        if up:
+            nodes = list(up)
+            yield pa.RecordBatch.from_arrays([pa.array([root(x) for x in nodes], pa.int64()), pa.array(nodes, pa.int64())], names=["u", "v"])
+
+    return edges.mapInArrow(run, "u bigint, v bigint")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """id, root: every node of the edges with the least node that it is connected to.
 
-    Alternates large-star and small-star steps, in rounds that grow with the logarithm of the
-    largest component; each round's edges are a written table.
+    Each partition's edges are first cut to a forest, so that what is sent on grows with the
+    nodes, not with the pairs. Then large-star and small-star steps alternate, in rounds that
+    grow with the logarithm of the largest component; each round's edges are a written table.
     """
-    now = written(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter("u < v").distinct(), "edges")
+    now = written(forest(edges.select(F.col(a).cast("bigint"), F.col(b).cast("bigint"))).distinct(), "edges")
     seen = None
     while True:
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -211,31 +237,54 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         now = written(small.select(F.col("m").alias("u"), "v").union(small.filter("w > m").select(F.col("m").alias("u"), F.col("w").alias("v"))).distinct(), "edges")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, clusters: DataFrame, n: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """a, b, jaccard of the pairs that reach the threshold on their whole sets; docs may have other rows too."""
+def verified(docs: DataFrame, pairs: DataFrame, clusters: DataFrame, n: int, threshold: float, id_col: str, text_col: str, members: DataFrame | None = None) -> DataFrame:
+    """a, b, jaccard of the pairs that reach the threshold on their whole sets; docs may have other rows too.
+
+    With members (doc_id, rep), each pair of representatives is given as all pairs of their
+    members, a < b, in the task that verified it: pairs aren't sent anywhere.
+    """
     size = clusters.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
     clusters = clusters.join(size, "root")
     one = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).join(clusters, "id")
-    texts = _blocks(one, "n_blocks", "id").select("root", "bi", "bj", F.lit(0).alias("kind"), F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b"), "text")
+    if members is not None:
+        one = one.join(members.groupBy(F.col("rep").alias("id")).agg(F.collect_list("doc_id").alias("all")), "id")
+    else:
+        one = one.withColumn("all", F.array("id"))
+    texts = _blocks(one, "n_blocks", "id").select("root", "bi", "bj", F.lit(0).alias("kind"), F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b"), "text", "all")
     block = lambda c: F.pmod(F.xxhash64(F.col(c)), F.col("n_blocks")).cast("int")
-    asked = pairs.join(clusters.withColumnRenamed("id", "a"), "a").select("root", F.least(block("a"), block("b")).alias("bi"), F.greatest(block("a"), block("b")).alias("bj"), F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("string").alias("text"))
+    asked = pairs.join(clusters.withColumnRenamed("id", "a"), "a").select("root", F.least(block("a"), block("b")).alias("bi"), F.greatest(block("a"), block("b")).alias("bj"), F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("string").alias("text"), F.lit(None).cast("array<bigint>").alias("all"))
     rows = texts.union(asked).repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, grams = None, {}
+        at, grams, every = None, {}, {}
+
+        def rows_of(out: list[tuple[int, int, float]]) -> pa.RecordBatch:
+            left, right, value = [], [], []
+            for a, b, jaccard in out:
+                x, y = every[a], every[b]
+                left.append(np.repeat(x, len(y)))
+                right.append(np.tile(y, len(x)))
+                value.append(np.full(len(x) * len(y), jaccard))
+            left, right = np.concatenate(left), np.concatenate(right)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right)), pa.array(np.concatenate(value))], names=["a", "b", "jaccard"])
+
         for batch in batches:
-            out = []
+            out, many = [], 0
             root, bi, bj, kind, a, b = (batch.column(k).to_pylist() for k in range(6))
             for k in range(batch.num_rows):
                 key = (root[k], bi[k], bj[k])
                 if key != at:
-                    at, grams = key, {}
+                    if out:
+                        yield rows_of(out)
+                        out, many = [], 0
+                    at, grams, every = key, {}, {}
                 if kind[k] == 0:
                     new = word_gram_hashes(batch.column(6)[k].as_py(), n)
                     old = grams.get(a[k])
                     # rows that share an id: the one whose set is the class's, see jaccard_pairs
                     if old is None or blake2b(new.tobytes(), digest_size=16).digest() < blake2b(old.tobytes(), digest_size=16).digest():
                         grams[a[k]] = new
+                    every[a[k]] = batch.column(7)[k].values.to_numpy()
                 else:
                     x, y = grams[a[k]], grams[b[k]]
                     if len(x) > len(y):
@@ -245,22 +294,26 @@ def verified(docs: DataFrame, pairs: DataFrame, clusters: DataFrame, n: int, thr
                     jaccard = both / (len(x) + len(y) - both)
                     if jaccard >= threshold:
                         out.append((a[k], b[k], jaccard))
+                        many += len(every[a[k]]) * len(every[b[k]])
+                        if many > 1 << 20:
+                            yield rows_of(out)
+                            out, many = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["a", "b", "jaccard"])
+                yield rows_of(out)
 
     return rows.mapInArrow(run, "a bigint, b bigint, jaccard double")
 
 
-def classes_and_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, rep) of every document that takes part, and (a, b, jaccard) of the representatives."""
+def classes_and_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM, threshold: float = THRESHOLD, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, rep) of every document that takes part, and (a, b, jaccard) of the representatives, or of all members if every."""
     signed = written(signatures(docs, id_col, text_col, n, threshold), "signatures")
     one = signed.groupBy("doc_id").agg(F.min("h").alias("h"))
     reps = one.groupBy("h").agg(F.min("doc_id").alias("id"))
-    members = one.join(reps, "h").select("doc_id", F.col("id").alias("rep"))
+    members = written(one.join(reps, "h").select("doc_id", F.col("id").alias("rep")), "members")
     chosen = written(signed.join(reps, "h").filter("doc_id = id").drop("doc_id", "h").dropDuplicates(["id"]), "representatives")
     pairs = written(candidates(chosen, threshold), "candidates")
-    found = verified(docs, pairs, written(components(pairs), "clusters"), n, threshold, id_col, text_col)
-    return written(members, "members"), written(found, "verified")
+    found = verified(docs, pairs, written(components(pairs), "clusters"), n, threshold, id_col, text_col, members if every else None)
+    return members, found
 
 
 def jaccard_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM, threshold: float = THRESHOLD) -> DataFrame:
@@ -271,8 +324,8 @@ def jaccard_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pair. Rows that share an id are one document, of the text whose set comes first by hash.
     Copies pair with each other and with whatever one of them is near to. Other columns are left aside.
     """
-    members, found = classes_and_pairs(docs, id_col, text_col, n, threshold)
-    across = found.join(members.toDF("x", "a"), "a").join(members.toDF("y", "b"), "b").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
+    members, across = classes_and_pairs(docs, id_col, text_col, n, threshold, every=True)
+    across = across.toDF("doc_a", "doc_b", "jaccard")
     within = members.groupBy("rep").agg(F.array_sort(F.collect_list("doc_id")).alias("m")).filter(F.size("m") > 1)
     within = within.select("m", F.posexplode("m").alias("i", "doc_a")).select("doc_a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("doc_b"), F.lit(1.0).alias("jaccard"))
     return across.union(within)
@@ -285,7 +338,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     alike in all columns and share an id one stays.
     """
     members, found = classes_and_pairs(docs, id_col, text_col, n, threshold)
-    roots = components(found).withColumnsRenamed({"id": "rep"})
+    roots = components(written(found, "verified")).withColumnsRenamed({"id": "rep"})
     gone = members.join(roots, "rep", "left").filter("doc_id > coalesce(root, rep)").select(F.col("doc_id").alias("__gone")).distinct()
     kept = docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
     again = kept.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__again")).count().filter("count > 1").select("__again")
