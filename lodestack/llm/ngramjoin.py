@@ -35,6 +35,8 @@ THINNED, SEGMENTS, BITS = 64, 48, 512
 SMALL = 16
 #: Members of a segment from which candidates are compared by their sketches before they are listed.
 LISTED = 48
+#: Bits of the filter that texts pass before they are sent to be verified: what is broadcast has at most this size.
+FILTER_BITS = 1 << 26
 #: Documents that are compared with each other, or verified, at a time.
 BLOCK = 2048
 #: Standard deviations that thinning may add to a symmetric difference.
@@ -237,15 +239,47 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         now = written(small.select(F.col("m").alias("u"), "v").union(small.filter("w > m").select(F.col("m").alias("u"), F.col("w").alias("v"))).distinct(), "edges")
 
 
+def among(df: DataFrame, ids: DataFrame, col: str, n: int) -> DataFrame:
+    """The rows of df whose col may be in ids (id, n of them): a Bloom filter of at most FILTER_BITS, so that a join sends few other texts.
+
+    Where ids outgrow the filter it lets more through, and in the end all; the join after it decides.
+    """
+    words = 1 << max(4, min(FILTER_BITS.bit_length() - 1, (16 * max(n, 1)).bit_length()) - 6)
+
+    def places(c: pa.Array) -> np.ndarray:
+        h = mixed(c.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) + np.uint64(97))
+        with np.errstate(over="ignore"):
+            return np.stack([mixed(h + np.uint64(k)) & np.uint64(words * 64 - 1) for k in range(4)])
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = places(b.column(0)).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["w", "b"])
+
+    found = ids.select("id").mapInArrow(bits, "w int, b bigint").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    table = np.zeros(words, np.uint64)
+    table[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
+    held = df.sparkSession.sparkContext.broadcast(table)
+
+    @F.arrow_udf("boolean")
+    def may_be(c: pa.Array) -> pa.Array:
+        at = places(c)
+        return pa.array(((held.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(0))
+
+    return df.filter(may_be(F.col(col)))
+
+
 def verified(docs: DataFrame, pairs: DataFrame, clusters: DataFrame, n: int, threshold: float, id_col: str, text_col: str, members: DataFrame | None = None) -> DataFrame:
     """a, b, jaccard of the pairs that reach the threshold on their whole sets; docs may have other rows too.
 
     With members (doc_id, rep), each pair of representatives is given as all pairs of their
     members, a < b, in the task that verified it: pairs aren't sent anywhere.
     """
+    n_ids = clusters.count()
     size = clusters.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
     clusters = clusters.join(size, "root")
-    one = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).join(clusters, "id")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    one = among(rows, clusters, "id", n_ids).join(clusters, "id")
     if members is not None:
         one = one.join(members.groupBy(F.col("rep").alias("id")).agg(F.collect_list("doc_id").alias("all")), "id")
     else:
@@ -310,7 +344,9 @@ def classes_and_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     one = signed.groupBy("doc_id").agg(F.min("h").alias("h"))
     reps = one.groupBy("h").agg(F.min("doc_id").alias("id"))
     members = written(one.join(reps, "h").select("doc_id", F.col("id").alias("rep")), "members")
-    chosen = written(signed.join(reps, "h").filter("doc_id = id").drop("doc_id", "h").dropDuplicates(["id"]), "representatives")
+    # joined by id alone, rows that share an id are already together
+    own = signed.join(reps.withColumnRenamed("h", "__h"), F.col("doc_id") == F.col("id")).filter("h = __h")
+    chosen = written(own.drop("doc_id", "h", "__h").dropDuplicates(["id"]), "representatives")
     pairs = written(candidates(chosen, threshold), "candidates")
     found = verified(docs, pairs, written(components(pairs), "clusters"), n, threshold, id_col, text_col, members if every else None)
     return members, found
