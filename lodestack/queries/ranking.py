@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import bm25, rank, select
+from ..operators import bm25, rank, select, similar
 from .texts import IDENT, table
 
 QUERIES: dict = {}
@@ -216,6 +216,18 @@ def dense_minmax(spark, sf_dir):
     return rank.min_max(_similar(spark, sf_dir), ["query_id"], "similarity").withColumn("similarity", T.rounded(F.col("similarity")))
 
 
+@query()
+def cosine_topk_all(spark, sf_dir):
+    """cosine_topk with every vector as a query."""
+    return similar.cosine_top(table(spark, sf_dir, "embeddings"), K, v_col="embedding")
+
+
+@query()
+def dense_minmax_all(spark, sf_dir):
+    """dense_minmax with every vector as a query."""
+    return similar.cosine_min_max(table(spark, sf_dir, "embeddings"), v_col="embedding").withColumn("similarity", T.rounded(F.col("similarity")))
+
+
 @query(f"WITH {_VEC}, n AS (SELECT vec_id, list_transform(v, lambda x: x / (sqrt(list_dot_product(v, v)) + 1e-12)) AS u FROM e) SELECT vec_id, {_r('list_sum(u)')} AS total, {_r('sqrt(list_dot_product(u, u))')} AS length FROM n")
 def l2_norm(spark, sf_dir):
     one = vectors(spark, sf_dir).select("vec_id", T.unit(F.col("v")).alias("u"))
