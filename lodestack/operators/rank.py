@@ -24,6 +24,19 @@ def reciprocal_ranks(lists: DataFrame, by: list[str], key: str = "key", k: int =
     return lists.groupBy(*by, key).agg(F.sum(1 / (F.lit(k) + F.col("rank") + 1)).alias("score"))
 
 
+def fused_ranks(*ranks: Column, k: int = 60) -> Column:
+    """reciprocal_ranks() of a pair whose ranks in all channels lie in one row."""
+    return sum((1 / (F.lit(k) + r + 1) for r in ranks[1:]), 1 / (F.lit(k) + ranks[0] + 1))
+
+
+def table_ranked(rows: DataFrame, score: str, key: str = "key") -> DataFrame:
+    """rows with rank from 0 over the whole table by score, then key: only the distinct scores meet in one task."""
+    above = F.coalesce(F.sum("n").over(Window.orderBy(F.desc_nulls_last(score)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = rows.groupBy(score).agg(F.count("*").alias("n")).select(F.col(score).alias("__score"), above.alias("above"))
+    within = F.row_number().over(Window.partitionBy(score).orderBy(F.asc(key))) - 1
+    return rows.withColumn("rank", within).join(starts, F.col(score).eqNullSafe(F.col("__score"))).withColumn("rank", F.col("rank") + F.col("above")).drop("__score", "above")
+
+
 def over_max(scores: DataFrame, by: list[str], score: str = "score") -> DataFrame:
     """Scores over their maximum in each group; over 1 where that is 0."""
     top = F.max(score).over(Window.partitionBy(*by))
@@ -57,6 +70,17 @@ def chosen_roots(lexical: DataFrame, structural: DataFrame, by: list[str], top_k
     return one.withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy("o"))).filter(F.col("pos") <= top_k).drop("o")
 
 
+def chosen_roots_of(pairs: DataFrame, by: list[str], top_k: int, key: str = "key", lexical_share: float = 0.5, k: int = 60) -> DataFrame:
+    """chosen_roots() of pairs that hold both full ranks, rank and structural, in one row: they are read once."""
+    keep = max(0, min(top_k, math.ceil(top_k * max(0.0, min(1.0, lexical_share)))))
+    # the top_k first of a channel fuse to over 1 / (k + top_k); beyond 2 * (k + top_k) in both channels no pair reaches that
+    near = pairs.filter(F.least("rank", "structural") <= 2 * (k + top_k)).withColumn("score", rounded(fused_ranks(F.col("rank"), F.col("structural"), k=k), 12))
+    w = Window.partitionBy(*by)
+    near = near.withColumn("fused", F.row_number().over(w.orderBy(F.desc("score"), key)) + keep)
+    first = F.row_number().over(w.orderBy(F.when(F.col("rank") < keep, F.col("rank")).otherwise(F.col("fused"))))
+    return near.withColumn("pos", first).filter(F.col("pos") <= top_k).select(*by, key, "pos")
+
+
 def hybrid_scores(lexical: DataFrame, by: list[str], key: str = "key", k: int = 60, dense: DataFrame | None = None) -> DataFrame:
     """by, key, fused (fusion over its maximum), top_lexical, top_dense: what the retrieval gate looks at.
 

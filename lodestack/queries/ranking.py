@@ -188,6 +188,60 @@ def prefix_pack(spark, sf_dir):
     return select.prefix(_hits(spark, sf_dir).join(size, "key"), ["query_id"], 7200, ["rank"]).select("query_id", "key", "used")
 
 
+def _scored_all(spark, sf_dir) -> DataFrame:
+    """query_id, key, score, base, structural (rank, the same for every query), cost: every passage with every document; the score is 0 without a common term."""
+    found = bm25.bm25(passages(spark, sf_dir), documents(spark, sf_dir)).select(F.col("doc_id").alias("key"), F.struct("query_id", T.rounded(F.col("score")).alias("score")).alias("hit"))
+    found = found.groupBy("key").agg(F.collect_list("hit").alias("hits"))
+    sizes = _sizes(spark, sf_dir).withColumn("by", T.rounded(F.col("base"), 9))
+    cost = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("n_chars").alias("cost"))
+    docs = rank.table_ranked(sizes, "by").drop("by").withColumnRenamed("rank", "structural").join(cost, "key").join(found, "key", "left")
+    asked = passages(spark, sf_dir).agg(F.collect_list("query_id").alias("asked"))
+    hits = F.coalesce("hits", F.array().cast(found.schema["hits"].dataType))
+    rest = F.transform(F.array_except("asked", F.transform(hits, lambda h: h["query_id"])), lambda q: F.struct(q.alias("query_id"), F.lit(0.0).alias("score")))
+    return docs.crossJoin(F.broadcast(asked)).select("key", "base", "structural", "cost", F.explode(F.concat(hits, rest)).alias("hit")).select("hit.*", "key", "base", "structural", "cost")
+
+
+def _ranked_all(spark, sf_dir) -> DataFrame:
+    """_scored_all() with rank from 0 in the lexical channel."""
+    return rank.ranked(_scored_all(spark, sf_dir), ["query_id"])
+
+
+@query()
+def rrf_two_channel_all(spark, sf_dir):
+    """rrf_two_channel over full rankings of both channels."""
+    fused = rank.fused_ranks(F.col("rank"), F.col("structural"))
+    return _ranked_all(spark, sf_dir).select("query_id", "key", T.rounded(fused, 9).alias("score"))
+
+
+@query()
+def choose_roots_all(spark, sf_dir):
+    """choose_roots over full rankings of both channels."""
+    return rank.chosen_roots_of(_ranked_all(spark, sf_dir), ["query_id"], K)
+
+
+@query()
+def hybrid_scores_all(spark, sf_dir):
+    """hybrid_scores over the full lexical ranking."""
+    one = _ranked_all(spark, sf_dir).withColumn("fused", rank.fused_ranks(F.col("rank"))).withColumn("top_lexical", F.max("score").over(Window.partitionBy("query_id")))
+    one = rank.over_max(one, ["query_id"], "fused").join(F.broadcast(passages(spark, sf_dir).select("query_id", "query")), "query_id")
+    return one.select("query_id", "key", T.rounded(F.col("fused"), 9).alias("fused"), "top_lexical", rank.should_retrieve(F.col("query"), F.col("top_lexical"), F.lit(None).cast("double")).alias("retrieve"))
+
+
+@query()
+def blend_topk_all(spark, sf_dir):
+    """blend_topk over all documents."""
+    both = _scored_all(spark, sf_dir).withColumn("score", rank.blended(F.col("base"), F.col("score"), 0.5))
+    return bm25.top_k(both.select("query_id", "key", "score"), K, doc_key="key")
+
+
+@query()
+def knapsack_budget_all(spark, sf_dir):
+    """knapsack_budget over all documents."""
+    both = _scored_all(spark, sf_dir).withColumn("benefit", T.rounded(rank.blended(F.col("base"), F.col("score"), 0.5)))
+    # what costs more than the whole budget is passed over anyway
+    return select.knapsack(both.filter(F.coalesce("cost", F.lit(0)) <= 20000).select("query_id", "key", "benefit", "cost"), ["query_id"], 20000)
+
+
 def vectors(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
 

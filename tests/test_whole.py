@@ -1,9 +1,13 @@
 """Queries over all rows against brute force."""
 
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 
-from lodestack.operators import similar
+from lodestack.operators import rank, similar
 from lodestack.queries import queries
 
 DIR = "/root/testdata/sf0.001"
@@ -43,3 +47,77 @@ def test_registered_similarities_hold_all_vectors(spark):
     few = queries()["cosine_topk"](spark, DIR).select("query_id", "doc_id", "score", "rank")
     assert few.join(whole, ["query_id", "doc_id", "rank"]).count() == few.count()
     assert queries()["dense_minmax_all"](spark, DIR).count() == n * (n - 1)
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """A folder of 170 documents and 3 passages, one of them with no word that a document has; the documents and passages."""
+    at = tmp_path_factory.mktemp("tables")
+    rng = np.random.default_rng(5)
+    docs = []
+    for i in range(170):
+        words = [f"w{x}" for x in rng.zipf(1.5, rng.integers(1, 60)) if x < 400] or ["none"]
+        docs.append((i, " ".join((["needle"] if i < 150 else []) + words)))
+    # no passage's word, but the largest: beyond lexical rank 100 of every passage
+    docs.append((170, "huge " * 700))
+    asked = [(0, "Needle w1 w2 w3"), (1, "w7 w7 foo_1 needle"), (2, "zzz")]
+    spark.createDataFrame([(*d, "en", "x", len(d[1])) for d in docs], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(asked, "item_id bigint, text string").write.parquet(f"{at}/benchmark.parquet")
+    return str(at), docs, asked
+
+
+def half_up(x, digits):
+    return math.floor(x * 10**digits + 0.5) / 10**digits
+
+
+def words(text):
+    return re.findall(r"[a-z_][a-z0-9_]*", text.lower())
+
+
+def lexical(docs, query):
+    """{document: score}, all of them."""
+    counts = {d: Counter(words(t)) for d, t in docs}
+    size = {d: max(1, len(words(t))) for d, t in docs}
+    mean = sum(size.values()) / len(docs)
+    df = Counter(w for c in counts.values() for w in c)
+    idf = {w: math.log((len(docs) - n + 0.5) / (n + 0.5) + 1) for w, n in df.items()}
+    raw = {d: sum(idf[w] * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * size[d] / mean)) for w in words(query) if c[w]) for d, c in counts.items()}
+    top = max(raw.values()) or 1.0
+    return {d: half_up(x / top, 6) for d, x in raw.items()}
+
+
+def order(scores):
+    return sorted(scores, key=lambda d: (-scores[d], d))
+
+
+def test_fusion_takes_full_rankings(spark, tables):
+    at, docs, asked = tables
+    run = {name: queries()[f"{name}_all"](spark, at).collect() for name in ("rrf_two_channel", "choose_roots", "hybrid_scores", "blend_topk", "knapsack_budget")}
+    most = max(len(t) for _, t in docs)
+    base = {d: len(t) / most for d, t in docs}
+    st = {d: r for r, d in enumerate(order({d: half_up(x, 9) for d, x in base.items()}))}
+    for q, text in asked:
+        got = {name: [r for r in rows if r["query_id"] == q] for name, rows in run.items()}
+        score = lexical(docs, text)
+        lex = order(score)
+        fused = {d: 1 / (61 + r) + 1 / (61 + st[d]) for r, d in enumerate(lex)}
+        assert {r["key"]: r["score"] for r in got["rrf_two_channel"]} == pytest.approx(fused, abs=2e-9)
+        roots = list(dict.fromkeys([*lex[:5], *order({d: half_up(x, 12) for d, x in fused.items()})]))[:10]
+        assert [r["key"] for r in sorted(got["choose_roots"], key=lambda r: r["pos"])] == roots
+        assert {r["key"]: r["fused"] for r in got["hybrid_scores"]} == pytest.approx({d: 61 / (61 + r) for r, d in enumerate(lex)}, abs=2e-9)
+        assert {r["retrieve"] for r in got["hybrid_scores"]} == {max(score.values()) >= 0.05}
+        blend = {d: half_up(0.5 * base[d] + 0.5 * score[d], 6) for d in base}
+        assert [r["key"] for r in sorted(got["blend_topk"], key=lambda r: r["rank"])] == order(blend)[:10]
+        room, taken = 20000, []
+        for d in sorted(blend, key=lambda d: (-blend[d] / len(docs[d][1]), -blend[d], len(docs[d][1]), d)):
+            if len(docs[d][1]) <= room:
+                room -= len(docs[d][1])
+                taken.append(d)
+        assert [r["key"] for r in sorted(got["knapsack_budget"], key=lambda r: r["pos"])] == taken
+    assert lexical(docs, asked[0][1])[170] == 0 and order(lexical(docs, asked[0][1])).index(170) >= 100
+    assert 170 in {r["key"] for r in run["blend_topk"] if r["query_id"] == 0}  # structural rank 0 alone
+
+
+def test_rank_of_a_whole_table(spark):
+    rows = spark.createDataFrame([(k, s) for k, s in enumerate([3.0, 1.0, None, 3.0, 2.0, None])], "key bigint, s double")
+    assert {r["key"]: r["rank"] for r in rank.table_ranked(rows, "s").collect()} == {0: 0, 3: 1, 4: 2, 1: 3, 2: 4, 5: 5}
