@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import bm25, rank, select, similar
+from ..operators import bm25, cover, rank, select, similar
 from .texts import IDENT, table
 
 QUERIES: dict = {}
@@ -242,6 +242,37 @@ def knapsack_budget_all(spark, sf_dir):
     return select.knapsack(both.filter(F.coalesce("cost", F.lit(0)) <= 20000).select("query_id", "key", "benefit", "cost"), ["query_id"], 20000)
 
 
+def _texts(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+
+
+@query()
+def lexical_score_all(spark, sf_dir):
+    """lexical_score of all pairs, those that cover nothing too."""
+    return cover.coverage(_texts(spark, sf_dir), passages(spark, sf_dir)).withColumn("coverage", T.rounded(F.col("coverage"), 9))
+
+
+@query()
+def lexical_coverage_all(spark, sf_dir):
+    """lexical_coverage of all pairs, those that cover nothing too."""
+    return cover.coverage(_texts(spark, sf_dir), passages(spark, sf_dir), distinct=False).withColumn("coverage", T.rounded(F.col("coverage"), 9))
+
+
+@query()
+def lexical_gate_all(spark, sf_dir):
+    """lexical_gate over all pairs."""
+    return cover.coverage(_texts(spark, sf_dir), passages(spark, sf_dir), least=0.6).select("query_id", "key")
+
+
+@query()
+def seeds_gated_all(spark, sf_dir):
+    """seeds_gated from all documents."""
+    final = T.rounded(rank.blended(F.col("base"), F.lit(1.0) / (F.col("rank") + 61), 0.5), 9)
+    c = _ranked_all(spark, sf_dir).select("query_id", "key", final.alias("final"), F.col("rank").alias("lex_rank"))
+    c = c.join(lexical_gate_all(spark, sf_dir).withColumn("gate", F.lit(True)), ["query_id", "key"], "left")
+    return rank.gated_seeds(c.withColumn("passes", F.coalesce("gate", F.lit(False))), ["query_id"], 6, 0.6)
+
+
 def vectors(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
 

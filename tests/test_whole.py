@@ -121,3 +121,29 @@ def test_fusion_takes_full_rankings(spark, tables):
 def test_rank_of_a_whole_table(spark):
     rows = spark.createDataFrame([(k, s) for k, s in enumerate([3.0, 1.0, None, 3.0, 2.0, None])], "key bigint, s double")
     assert {r["key"]: r["rank"] for r in rank.table_ranked(rows, "s").collect()} == {0: 0, 3: 1, 4: 2, 1: 3, 2: 4, 5: 5}
+
+
+def test_gate_sees_all_pairs(spark, tables):
+    at, docs, asked = tables
+    most = max(len(t) for _, t in docs)
+    run = {name: queries()[f"{name}_all"](spark, at).collect() for name in ("lexical_score", "lexical_coverage", "lexical_gate", "seeds_gated")}
+    share = lambda wanted, text: sum(t in text.lower() for t in wanted) / len(wanted)
+    assert {(r["query_id"], r["key"]): r["coverage"] for r in run["lexical_score"]} == {(q, d): half_up(share(set(words(a)), t), 9) for q, a in asked for d, t in docs}
+    assert {(r["query_id"], r["key"]): r["coverage"] for r in run["lexical_coverage"]} == {(q, d): half_up(share(words(a), t), 9) for q, a in asked for d, t in docs}
+    gate = {(q, d) for q, a in asked for d, t in docs if share(set(words(a)), t) >= 0.6}
+    assert {(r["query_id"], r["key"]) for r in run["lexical_gate"]} == gate and sum(q == 0 for q, _ in gate) > 10
+    for q, a in asked:
+        lex = order(lexical(docs, a))
+        final = {d: half_up(0.5 * len(docs[d][1]) / most + 0.5 / (61 + r), 9) for r, d in enumerate(lex)}
+        first = [d for d in lex if (q, d) in gate][:4]
+        rest = [d for d in order(final) if (q, d) in gate] or order(final)
+        assert [r["key"] for r in sorted((r for r in run["seeds_gated"] if r["query_id"] == q), key=lambda r: r["pos"])] == list(dict.fromkeys([*first, *rest]))[:6]
+
+
+def test_empty_queries_and_texts(spark):
+    from lodestack.operators import cover
+
+    texts = spark.createDataFrame([(1, None), (2, "xx_Data9 y")], "key bigint, text string")
+    asked = spark.createDataFrame([(1, []), (2, ["data", "q"])], "query_id bigint, tokens array<string>")
+    assert {tuple(r) for r in cover.coverage(texts, asked).collect()} == {(2, 1, 0.0), (2, 2, 0.5)}
+    assert {tuple(r)[:2] for r in cover.coverage(texts, asked, least=0.5).collect()} == {(1, 1), (1, 2), (2, 2)}
