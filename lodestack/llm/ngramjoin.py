@@ -315,8 +315,8 @@ def verified(docs: DataFrame, pairs: DataFrame, clusters: DataFrame, n: int, thr
                 if kind[k] == 0:
                     new = word_gram_hashes(batch.column(6)[k].as_py(), n)
                     old = grams.get(a[k])
-                    # rows that share an id: the one whose set is the class's, see jaccard_pairs
-                    if old is None or blake2b(new.tobytes(), digest_size=16).digest() < blake2b(old.tobytes(), digest_size=16).digest():
+                    # rows that share an id: the one whose set is the class's, see jaccard_pairs; those without words have no signature
+                    if len(new) and (old is None or blake2b(new.tobytes(), digest_size=16).digest() < blake2b(old.tobytes(), digest_size=16).digest()):
                         grams[a[k]] = new
                     every[a[k]] = batch.column(7)[k].values.to_numpy()
                 else:
