@@ -2,10 +2,13 @@
 
 Documents are dealt by hash into groups of bounded size, and each group is packed on its own:
 first by best fit, largest document first, which is the incumbent. If that takes more
-sequences than the lower bounds allow, a branch and bound looks for better: the largest
+sequences than the lower bounds allow, one dive completes the largest document left by the
+tightest filling of its sequence, again and again, and the better of both is the incumbent. If
+that doesn't meet the bounds either, a branch and bound looks for better: the largest
 document left is completed by each undominated filling of what remains of its sequence, tightest
 first, and a branch ends where its waste is more than an improvement on the incumbent can
-afford. Every new best packing becomes the incumbent.
+afford. Every new best packing becomes the incumbent. Where the search of a whole group is
+stopped, it is run again on the sequences that waste most, as long as that saves one.
 """
 
 from __future__ import annotations
@@ -15,13 +18,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import TOKENIZER, with_token_counts, written
 
 #: Tokens of a sequence; pieces that are packed together; fillings that a group's search may look at.
 CAPACITY, GROUP, NODES = 2048, 4096, 4000
+#: Sequences that waste most, packed again together where the search of the whole group is stopped.
+WORST = 12
 SCHEMA = "doc_id bigint, piece int, start bigint, n_tokens int, bin bigint, place int"
 
 
@@ -59,6 +64,34 @@ def lower_bound(sizes: list[int], capacity: int) -> int:
     return best
 
 
+def dive(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Bins of indices: the largest left is completed to the largest sum that fits, by as large others as can be.
+
+    Sums are the bits of one number; items join it from the largest until the bin can be full.
+    """
+    left = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    bins: list[list[int]] = []
+    while left:
+        chosen, room = [left[0]], capacity - sizes[left[0]]
+        mask, sums, steps = (1 << (room + 1)) - 1, 1, []
+        at = bisect_left(left, -room, 1, key=lambda i: -sizes[i])
+        while at < len(left) and not sums >> room:
+            new = (sums | sums << sizes[left[at]]) & mask
+            if new != sums:
+                steps.append((left[at], sums))
+                sums = new
+            at += 1
+        target = sums.bit_length() - 1
+        for i, before in reversed(steps):
+            if not before >> target & 1:
+                chosen.append(i)
+                target -= sizes[i]
+        bins.append(chosen)
+        gone = set(chosen)
+        left = [i for i in left if i not in gone]
+    return bins
+
+
 def fillings(sizes: list[int], counts: dict[int, int], room: int, need: int, budget: list[int]) -> list[tuple[int, ...]]:
     """The undominated multisets of sizes (descending) that fit into room and take at least need of it, tightest first.
 
@@ -115,11 +148,30 @@ def fillings(sizes: list[int], counts: dict[int, int], room: int, need: int, bud
 def pack(sizes: list[int], capacity: int = CAPACITY, nodes: int = NODES) -> tuple[list[list[int]], bool]:
     """(bins of indices, whether they are proven to be as few as can be).
 
-    Sizes lie between 1 and capacity. The search stops after `nodes` steps and then returns the
+    Sizes lie between 1 and capacity. A search stops after `nodes` steps and then returns the
     best packing so far, which never takes more bins than best fit.
     """
     incumbent = best_fit(sizes, capacity)
     bound = lower_bound(sizes, capacity)
+    if len(incumbent) <= bound:
+        return incumbent, True
+    incumbent = min(incumbent, dive(sizes, capacity), key=len)
+    incumbent, proven = completed(sizes, capacity, nodes, incumbent, bound)
+    while not proven:
+        incumbent.sort(key=lambda b: sum(sizes[i] for i in b))
+        worst, rest = incumbent[:WORST], incumbent[WORST:]
+        some = [i for b in worst for i in b]
+        own = [sizes[i] for i in some]
+        better = min(dive(own, capacity), completed(own, capacity, nodes, best_fit(own, capacity), lower_bound(own, capacity))[0], key=len)
+        if len(better) >= len(worst):
+            break
+        incumbent = rest + [[some[i] for i in b] for b in better]
+        proven = len(incumbent) <= bound
+    return incumbent, proven
+
+
+def completed(sizes: list[int], capacity: int, nodes: int, incumbent: list[list[int]], bound: int) -> tuple[list[list[int]], bool]:
+    """pack() by branch and bound from an incumbent."""
     if len(incumbent) <= bound:
         return incumbent, True
     counts: dict[int, int] = {}
@@ -187,6 +239,13 @@ def pack(sizes: list[int], capacity: int = CAPACITY, nodes: int = NODES) -> tupl
     return [[of[x].pop() for x in chosen] for chosen in best], proven
 
 
+def _groups(docs: DataFrame, id_col: str, text_col: str, group: int, tokenizer: str) -> tuple[DataFrame, Column]:
+    """(doc_id, h, n tokens) of each row, and the group that a row is in."""
+    one = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"))
+    counted = written(with_token_counts(one, "text", "n", tokenizer, ["doc_id", "h"]), "packing-sizes")
+    return counted, F.pmod("h", F.lit(max(1, -(-counted.count() // group)))).alias("g")
+
+
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, group: int = GROUP, nodes: int = NODES, tokenizer: str = TOKENIZER) -> DataFrame:
     """doc_id, piece, start, n_tokens, bin, place: where each part of each row's tokens lies.
 
@@ -196,9 +255,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     repeated rows and rows that share an id or have none take part like any other. Other
     columns are left aside. The text itself is read once, for its number of tokens.
     """
-    one = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"))
-    counted = written(with_token_counts(one, "text", "n", tokenizer, ["doc_id", "h"]), "packing-sizes")
-    groups = max(1, -(-counted.count() // group))
+    counted, group_of = _groups(docs, id_col, text_col, group, tokenizer)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["n", "h"], ascending=[False, True], kind="stable")
@@ -221,4 +278,16 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
         made = pd.DataFrame(out, columns=["doc_id", "piece", "start", "n_tokens", "bin", "place"])
         return made.astype({"doc_id": "Int64", "bin": "Int64", "place": "Int32"})
 
-    return counted.groupBy(F.pmod("h", F.lit(groups)).alias("g")).applyInPandas(run, SCHEMA)
+    return counted.groupBy(group_of).applyInPandas(run, SCHEMA)
+
+
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, group: int = GROUP, nodes: int = NODES, tokenizer: str = TOKENIZER) -> DataFrame:
+    """g, pieces, best_fit, bound, bins, proven: what packed() reaches in each group, without the bins of whole pieces."""
+    counted, group_of = _groups(docs, id_col, text_col, group, tokenizer)
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        sizes = [n % capacity for n in rows.sort_values(["n", "h"], ascending=[False, True], kind="stable")["n"].tolist() if n % capacity]
+        bins, proven = pack(sizes, capacity, nodes)
+        return pd.DataFrame([(int(key[0]), len(sizes), len(best_fit(sizes, capacity)), lower_bound(sizes, capacity), len(bins), proven)], columns=["g", "pieces", "best_fit", "bound", "bins", "proven"])
+
+    return counted.groupBy(group_of).applyInPandas(run, "g bigint, pieces int, best_fit int, bound int, bins int, proven boolean")
