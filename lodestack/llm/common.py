@@ -6,13 +6,16 @@ import base64
 import tempfile
 import uuid
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Bits of a filter of ids: what is broadcast has at most this size.
+FILTER_BITS = 1 << 28
 #: The default vocabulary; every operator that tokenises takes another path as a parameter.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The split of text before byte-pair merges that the vocabularies were made for.
@@ -81,8 +84,6 @@ def with_token_counts(df: DataFrame, text_col: str, out: str, tokenizer: str = T
 
 def token_count(text_col: str, tokenizer: str = TOKENIZER) -> Column:
     """The exact number of tokens of a column beside others that needn't reach Python; null and empty texts have 0."""
-    from pyspark.sql import functions as F
-
     @F.arrow_udf("bigint")
     def run(texts: pa.Array) -> pa.Array:
         count = words_of(tokenizer).count
@@ -138,3 +139,43 @@ def word_gram_hashes(text: str | None, n: int) -> np.ndarray:
         np.cumsum(_byte_values()[raw] * up[: len(raw)], out=total[1:])
         a, b = starts[: len(starts) - n + 1], ends[n - 1 :]
         return np.unique(mixed((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64)))
+
+
+def filter_of_ids(ids: DataFrame, n: int) -> Callable[[np.ndarray], np.ndarray]:
+    """For numbers that tasks see, which of them may be among ids (id, n of them): a Bloom filter of 16 bits an id, FILTER_BITS at most.
+
+    It saves what a join after it would send, and decides nothing. From about 20 million ids on
+    it lets more through, and in the end all: what it stands before is then shuffled whole, once.
+    """
+    words = 1 << max(4, min(FILTER_BITS.bit_length() - 1, (16 * max(n, 1)).bit_length()) - 6)
+
+    def places(c: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = mixed(c.astype(np.int64).view(np.uint64) + np.uint64(97))
+            return np.stack([mixed(h + np.uint64(k)) & np.uint64(words * 64 - 1) for k in range(4)])
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = places(b.column(0).to_numpy()).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["w", "b"])
+
+    found = ids.select("id").mapInArrow(bits, "w int, b bigint").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    table = np.zeros(words, np.uint64)
+    table[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
+    held = ids.sparkSession.sparkContext.broadcast(table)
+
+    def may_be(c: np.ndarray) -> np.ndarray:
+        at = places(c)
+        return ((held.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool).all(0)
+
+    return may_be
+
+
+def among(df: DataFrame, known: Callable[[np.ndarray], np.ndarray], col: str) -> DataFrame:
+    """The rows of df whose col a filter_of_ids() lets through; nulls don't pass."""
+
+    @F.arrow_udf("boolean")
+    def may_be(c: pa.Array) -> pa.Array:
+        return pa.array(known(c.fill_null(0).to_numpy(zero_copy_only=False)) & c.is_valid().to_numpy(zero_copy_only=False))
+
+    return df.filter(may_be(F.col(col)))

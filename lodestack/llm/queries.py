@@ -53,7 +53,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngramjoin.jaccard_pairs(_table(spark, sf_dir, "documents"))
+    return ngramjoin.classes(_table(spark, sf_dir, "documents"))
 
 
 SQL_OP3 = f"""

@@ -56,7 +56,7 @@ OPERATORS = {
     "mixing": (lambda d, _: mixing.mixture(d), len(ROWS)),
     "line dedup": (lambda d, _: linededup.deduplicated(d).select("doc_id", "text", "n_lines", "n_lost"), len(ROWS)),
     "language": (lambda d, _: langid.identified(d, langid.fitted(d)).select("doc_id", "lang_found", "bits_per_byte", "margin_bits"), len(ROWS)),
-    "join": (lambda d, _: ngramjoin.jaccard_pairs(d), None),
+    "join": (lambda d, _: ngramjoin.classes(d), 6),
 }
 
 

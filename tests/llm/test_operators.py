@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestack.llm import ann, chat, fingerprint, langid, linededup, mixing, ngramjoin, packing, toxicity, wavelet
+from lodestack.llm import ann, chat, common, fingerprint, langid, linededup, mixing, ngramjoin, packing, toxicity, wavelet
 from lodestack.llm.common import word_gram_hashes, words_of
 
 SMALL = "/root/testdata/sf0.001"
@@ -304,38 +304,92 @@ def near_copies():
     return out
 
 
-def test_jaccard_join_finds_near_copies(spark, docs, texts):
-    for given in (texts, near_copies()):
-        d = docs if given is texts else spark.createDataFrame(list(given.items()), "doc_id bigint, text string")
-        want = jaccard_brute(given)
-        got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in ngramjoin.jaccard_pairs(d).collect()}
-        assert set(got) <= set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in got)
-        assert len(got) >= 0.95 * len(want) and want
-        left = {r["doc_id"] for r in ngramjoin.deduplicated(d).collect()}
-        root = {x: x for x in given}
+def classes_brute(texts):
+    """{document: (class, copies, links)} from all pairs."""
+    sets = {d: frozenset(word_gram_hashes(t, 3).tolist()) for d, t in texts.items()}
+    root, links = {x: x for x in texts}, Counter()
 
-        def top(x, root=root):
-            while root[x] != x:
-                x = root[x]
-            return x
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
 
-        for a, b in got:
-            a, b = top(a), top(b)
-            root[max(a, b)] = min(a, b)
-        assert left == {x for x in given if top(x) == x}
+    for a, b in jaccard_brute(texts):
+        x, y = top(a), top(b)
+        root[max(x, y)] = min(x, y)
+        if sets[a] != sets[b]:
+            links.update((a, b))
+    copies = Counter(x for x in sets.values() if x)
+    return {x: (top(x), copies[sets[x]] or 1, links[x]) for x in texts}
 
 
-def test_many_alike_in_one_segment_are_compared_in_blocks(spark):
+def found_classes(df):
+    return {r["doc_id"]: (r["class_id"], r["n_copies"], r["n_links"]) for r in df.collect()}
+
+
+def test_jaccard_join_finds_near_copies(spark, docs, texts):
+    for given in (texts, near_copies()):
+        d = docs if given is texts else spark.createDataFrame(list(given.items()), "doc_id bigint, text string")
+        want = classes_brute(given)
+        assert found_classes(ngramjoin.classes(d)) == want and any(n for _, _, n in want.values())
+        assert {r["doc_id"] for r in ngramjoin.deduplicated(d).collect()} == {x for x in given if want[x][0] == x}
+        pairs, members = ngramjoin.jaccard_pairs(d)
+        rep = {r["doc_id"]: r["rep"] for r in members.collect()}
+        wanted = {(a, b): x for (a, b), x in jaccard_brute(given).items() if rep[a] == a and rep[b] == b}
+        assert {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in pairs.collect()} == pytest.approx(wanted, abs=1e-12)
+
+
+def at_the_threshold(size, rng, subset):
+    """Two texts of about size grams with a Jaccard index just at 0.5: one within the other, or of one size."""
+    words = [f"w{rng.randrange(10**7)}" for _ in range(size + 2)]
+    if subset:
+        return " ".join(words), " ".join(words[: (size + 1) // 2 + 2])
+    return " ".join(words), " ".join(words[: size * 2 // 3 + 3] + [f"x{rng.randrange(10**7)}" for _ in range(size // 3 - 2)])
+
+
+def test_no_link_is_lost_at_the_threshold(spark):
+    rng, given = random.Random(6), {}
+    for size in (20, 40, 64, 100, 127, 128, 200, 255, 256, 300, 500, 511, 512, 800, 1500, 5000):
+        for k in range(60 if size < 1000 else 20):
+            for t in at_the_threshold(size, rng, k % 2):
+                given[len(given)] = t
+    sets = {d: set(word_gram_hashes(t, 3).tolist()) for d, t in given.items()}
+    want = {(a, a + 1) for a in range(0, len(given), 2) if len(sets[a] & sets[a + 1]) >= 0.5 * len(sets[a] | sets[a + 1])}
+    assert len(want) == len(given) // 2
+    pairs, _ = ngramjoin.jaccard_pairs(spark.createDataFrame(list(given.items()), "doc_id bigint, text string"))
+    found = pairs.collect()
+    assert {(r["doc_a"], r["doc_b"]) for r in found} == want and max(r["jaccard"] for r in found) < 0.6
+
+
+@pytest.mark.parametrize("size", [60, 400])
+def test_many_alike_in_one_segment_are_compared_in_blocks(spark, monkeypatch, size):
+    monkeypatch.setattr(ngramjoin, "BLOCK", 50)
+    monkeypatch.setattr(ngramjoin, "CELL", 40)
     rng = random.Random(4)
-    words = [f"w{rng.randrange(5000)}" for _ in range(60)]
+    words = [f"w{rng.randrange(5000)}" for _ in range(size)]
     given = {}
-    for k in range(120):
+    for k in range(160):
         w = list(words)
-        w[rng.randrange(60)] = f"x{k}"
+        for _ in range(1 + k // 12):
+            w[rng.randrange(size)] = f"x{k}"
         given[k] = " ".join(w)
-    want = jaccard_brute(given)
-    got = {(r["doc_a"], r["doc_b"]) for r in ngramjoin.jaccard_pairs(spark.createDataFrame(list(given.items()), "doc_id bigint, text string")).collect()}
-    assert got <= set(want) and len(got) >= 0.97 * len(want) and len(want) > 5000
+    want = classes_brute(given)
+    assert found_classes(ngramjoin.classes(spark.createDataFrame(list(given.items()), "doc_id bigint, text string"))) == want and sum(n for _, _, n in want.values()) > 10_000
+
+
+def test_intersections_by_pairs_and_by_one_product():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 9000, rng.integers(1, 900)).astype(np.uint64)) for _ in range(40)]
+    a, b = np.triu_indices(40, 1)
+    want = [len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) for i, j in zip(a, b)]
+    assert ngramjoin.alike(sets, a, b) == pytest.approx(want) and ngramjoin.alike(sets, a[:50], b[:50]) == pytest.approx(want[:50])
+
+
+def test_a_full_filter_passes_everything(spark, monkeypatch):
+    monkeypatch.setattr(common, "FILTER_BITS", 1 << 10)
+    known = common.filter_of_ids(spark.range(5000).select("id"), 5000)
+    rows = spark.range(4000, 9000).withColumn("id", F.when(F.col("id") % 100 > 0, F.col("id")))
+    assert {r["id"] for r in common.among(rows, known, "id").collect()} >= {x for x in range(4000, 5000) if x % 100}
 
 
 def test_forest_has_the_same_components(spark):

@@ -13,4 +13,5 @@ def test_empty_text_with_the_id_of_a_near_copy(spark):
     a, b = [t for t in made if digest(t) > digest("")][:2]
     for rows in ([(1, a), (2, b), (1, "")], [(1, a), (2, b), (1, None), (2, " ")]):
         docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-        assert [(r["doc_a"], r["doc_b"]) for r in ngramjoin.jaccard_pairs(docs).collect()] == [(1, 2)]
+        assert [(r["doc_a"], r["doc_b"]) for r in ngramjoin.jaccard_pairs(docs)[0].collect()] == [(1, 2)]
+        assert {tuple(r) for r in ngramjoin.classes(docs).collect()} == {(1, 1, 1, 1), (2, 1, 1, 1)}
