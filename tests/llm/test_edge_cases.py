@@ -111,7 +111,7 @@ def test_neighbours_odd_rows(spark):
     schema = "vec_id bigint, embedding array<float>, label int"
     nan = float("nan")
     rows = [(i, [float(i), 1.0, 2.0], 0) for i in range(6)] + [(1, [1.0, 1.0, 2.0], 0), (None, [1.0, 2.0, 3.0], 0), (7, None, 0), (8, [], 0), (9, [1.0, nan, 0.0], 0), (10, [1.0, None, 0.0], 0), (11, [1.0], 0), (12, [0.0, 0.0, 0.0], None), (13, [3.0, 1.0, 2.0], 0)]
-    got = ann.neighbours(clashing(spark.createDataFrame(rows, schema)), k=3)
+    got = ann.neighbours(clashing(spark.createDataFrame(rows, schema)), k=3, every=1)
     found = {}
     for r in got.collect():
         found.setdefault(r["vec_id"], []).append((r["rank"], r["neighbour"], r["similarity"]))
@@ -119,4 +119,6 @@ def test_neighbours_odd_rows(spark):
     assert sorted(found[13])[0][1:] == (3, 1.0)  # a copy is the nearest
     assert [x[1] for x in sorted(found[12])] == [0, 1, 2]  # all alike: by id
     assert ann.neighbours(spark.createDataFrame([], schema)).count() == 0
+    assert {r["vec_id"] for r in ann.neighbours(spark.createDataFrame(rows, schema), every=5).collect()} == {0, 5}
+    assert ann.neighbours(spark.createDataFrame(rows[1:4], schema)).count() == 0  # no id is divisible by 50
     assert ann.neighbours(spark.createDataFrame(rows[:1], schema)).count() == 0

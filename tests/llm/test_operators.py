@@ -108,31 +108,67 @@ def test_sketch_of_a_union_and_containment(spark):
     assert {(r["doc_id"], r["containment"]) for r in got} == {(2, 1.0), (3, 1.0)}
 
 
-def test_neighbours_recall(spark):
-    e = spark.read.parquet(f"{SMALL}/embeddings.parquet")
-    rows = e.collect()
-    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    sims = x @ x.T
+def true_neighbours(ids, x, k=10):
+    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    sims = np.round(x @ x.T, ann.DECIMALS)
     np.fill_diagonal(sims, -2)
-    got = {}
-    for r in ann.neighbours(e).collect():
-        got.setdefault(r["vec_id"], {})[r["neighbour"]] = r["similarity"]
-    hit = 0
-    for i, d in enumerate(ids.tolist()):
-        best = ids[np.argsort(-sims[i], kind="stable")[:10]].tolist()
-        hit += len(set(best) & set(got[d]))
-    assert len(got) == len(ids) and hit / (10 * len(ids)) >= 0.9
-    assert all(len(v) == 10 for v in got.values())
+    return {d: ids[np.lexsort((ids, -sims[i]))[:k]].tolist() for i, d in enumerate(ids.tolist())}
+
+
+def recall_of(got, want):
+    found = {}
+    for r in got.collect():
+        found.setdefault(r["vec_id"], []).append(r["neighbour"])
+    assert all(len(v) == 10 for v in found.values())
+    return found, np.mean([len(set(want[d]) & set(v)) / 10 for d, v in found.items()])
+
+
+def test_neighbours_recall(spark):
+    for sf, every in (("0.001", 1), ("0.1", 50)):
+        e = spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet")
+        rows = e.collect()
+        ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+        found, recall = recall_of(ann.neighbours(e, every=every), true_neighbours(ids, x))
+        assert set(found) == {d for d in ids.tolist() if d % every == 0} and recall >= 0.94
+
+
+def test_neighbours_where_vectors_lie_in_clusters(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(40, 16))
+    x = np.concatenate([centres[rng.integers(0, 40, 2000)] + 0.1 * rng.normal(size=(2000, 16)), np.repeat(centres[:1], 1000, 0)]).astype(np.float32)  # a third are copies
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>").repartition(5)
+    found, recall = recall_of(ann.neighbours(e, block=128), true_neighbours(np.arange(3000), x.astype(float)))
+    assert len(found) == 60 and recall >= 0.94
+    table = ann.units(e, "vec_id", "embedding")
+    tree = ann.grown(table, 3000)
+    assert ann.calibrated(table.select(F.lit(0).alias("leaf"), "id", "v"), table, 3000, ann.Tree(tree.branches[:1], tree.leaves[:1], np.array([0, 1])), 10, 0.95, 50) == 1
 
 
 def test_best_bin_first_visits_all_leaves_in_order_of_a_queue():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 4))
     tree = ann.Tree(x[:4], x[4:20], np.array([0, 4, 8, 12, 16]))
-    order = tree.visits(x[100:110], 16)
-    assert (np.sort(order, 1) == np.arange(16)).all()
-    assert (tree.visits(x[100:110], 5) == order[:, :5]).all()
+    of, order = tree.visits(x[100:110], 16)
+    order = order.reshape(10, 16)
+    assert (of == np.repeat(np.arange(10), 16)).all() and (np.sort(order, 1) == np.arange(16)).all()
+    assert (tree.visits(x[100:110], 5)[1].reshape(10, 5) == order[:, :5]).all()
+    held = np.arange(16)
+    of, some = tree.visits(x[100:110], 2, held, 20)
+    for i in range(10):
+        n = (of == i).sum()
+        assert some[of == i].tolist() == order[i, :n].tolist() and n >= 2 and held[order[i, :n]].sum() >= 20 and (n == 2 or held[order[i, : n - 1]].sum() < 20)
+    # by brute force: of all nodes whose parent is open, the nearest
+    for i in range(10):
+        d = lambda c, q=x[100 + i]: float(((c - q) ** 2).sum())
+        open_nodes, want = {("b", b): d(tree.branches[b]) for b in range(4)}, []
+        while open_nodes:
+            kind, at = min(open_nodes, key=open_nodes.get)
+            del open_nodes[kind, at]
+            if kind == "b":
+                open_nodes |= {("l", j): d(tree.leaves[j]) for j in range(tree.first[at], tree.first[at + 1])}
+            else:
+                want.append(at)
+        assert order[i].tolist() == want
 
 
 def test_toxicity_held_out_and_misspelled(spark):
