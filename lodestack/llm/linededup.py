@@ -1,11 +1,11 @@
 """Reversible line dedup: cuckoo filters, one a shard, backed by exact reference counts.
 
-State is two tables. `refs` has each line's hash and how many documents hold it; `filters` has,
-for each shard of the hash range, a cuckoo filter of the hashes in refs. A batch's lines probe
-their shard's filter: what it doesn't know is new without a look at refs, and what it may
-know is settled by a join with refs. Filters can forget: when a document is deleted, its lines'
-counts go down, and a line that none holds any more leaves the filter, so that its next
-document keeps it again.
+State is three tables. `held` has the documents that are in; `refs` has each line's hash and how many of them
+hold it; `filters` has, for each shard of the hash range, a cuckoo filter of the hashes in refs. A
+batch's lines probe their shard's filter: what it doesn't know is new without a look at refs, and
+what it may know is settled by a join with refs. Filters can forget: when a document is deleted,
+its lines' counts go down, and a line that none holds any more leaves the filter, so that its next
+document keeps it again. A table is deduplicated in batches, each against the state that the ones before it left.
 """
 
 from __future__ import annotations
@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, written
+from .common import among, filter_of_ids, mixed, written
 
 #: Entries of a filter's bucket; its load before it is made twice as large; lines a shard is meant to have.
 SLOTS, LOAD, SHARD_LINES = 4, 0.85, 1 << 16
+#: Parts in which a table is deduplicated.
+BATCHES = 2
 #: Lines with fewer characters, spaces at the ends left aside, are kept wherever they are.
 SHORTEST = 1
 
@@ -133,21 +135,19 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, shortest: int = SHORTE
     return one.withColumn("line", F.trim("line")).filter(F.length("line") >= shortest).select("id", "th", "at", F.xxhash64("line").alias("h"))
 
 
-def shards_for(docs: DataFrame, text_col: str = "text") -> int:
-    """How many shards keep filters at about SHARD_LINES lines, were no line repeated."""
-    n = docs.agg(F.sum(F.size(F.split(F.col(text_col).cast("string"), "\n", -1)))).first()[0] or 0
-    return max(1, -(-n // SHARD_LINES))
-
-
 class LineStore:
-    """The state: refs (shard, h, n) and filters (shard, payload), written tables that each change replaces."""
+    """The state: held (id, th), refs (shard, h, n) and filters (shard, payload), written tables that each change replaces.
 
-    def __init__(self, refs: DataFrame | None, filters: DataFrame | None, shards: int):
-        self.refs, self.filters, self.shards = refs, filters, shards
+    Without a number of shards, the first batch's lines make as many as keep filters at about
+    SHARD_LINES of them; where refs outgrow their shards twofold, there are twice as many.
+    """
+
+    def __init__(self, held: DataFrame | None, refs: DataFrame | None, filters: DataFrame | None, shards: int | None):
+        self.held, self.refs, self.filters, self.shards = held, refs, filters, shards
 
     @classmethod
-    def empty(cls, shards: int) -> LineStore:
-        return cls(None, None, shards)
+    def empty(cls, shards: int | None = None) -> LineStore:
+        return cls(None, None, None, shards)
 
     def probed(self, hashes: DataFrame) -> DataFrame:
         """hashes (distinct shard, h) with maybe: whether the shard's filter may know it."""
@@ -175,21 +175,31 @@ class LineStore:
         # a shard's filter comes before its lines
         return both.repartition("shard").sortWithinPartitions("shard", F.col("payload").isNull()).mapInArrow(run, "shard int, h bigint, maybe boolean")
 
-    def _by_line(self, lines: DataFrame) -> DataFrame:
-        """shard, h, first (the first place), n (rows that hold it), times (places)."""
-        one = lines.groupBy("h", "id", "th").agg(F.min("at").alias("at"), F.count("*").alias("times"))
-        found = one.groupBy("h").agg(F.min(F.struct("id", "th", "at")).alias("first"), F.count("*").alias("n"), F.sum("times").alias("times"))
-        return found.withColumn("shard", F.pmod(F.col("h"), F.lit(self.shards)).cast("int"))
+    def _known(self, lines: DataFrame) -> DataFrame:
+        """lines with fresh: whether their document is not held."""
+        if self.held is None:
+            return lines.withColumn("fresh", F.lit(True))
+        held = self.held.select(F.col("id").alias("__i"), F.col("th").alias("__t"), F.lit(False).alias("fresh"))
+        return lines.join(held, F.col("id").eqNullSafe(F.col("__i")) & (F.col("th") == F.col("__t")), "left").select(*lines.columns, F.coalesce("fresh", F.lit(True)).alias("fresh"))
+
+    @staticmethod
+    def _by_line(lines: DataFrame, shards: int) -> DataFrame:
+        """shard, h, first (the first place), n (fresh rows that hold it), times (places)."""
+        one = lines.groupBy("h", "id", "th").agg(F.min("at").alias("at"), F.count("*").alias("times"), F.max("fresh").cast("int").alias("fresh"))
+        found = one.groupBy("h").agg(F.min(F.struct("id", "th", "at")).alias("first"), F.sum("fresh").alias("n"), F.sum("times").alias("times"))
+        return found.withColumn("shard", F.pmod(F.col("h"), F.lit(shards)).cast("int"))
 
-    def inserted(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST) -> tuple[LineStore, DataFrame]:
-        """The state with these documents, and the lines (id, th, at) that they lose.
+    def inserted(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST, more: int = 0) -> tuple[LineStore, DataFrame]:
+        """The state with these documents, and the lines (id, th, at) that they lose; null texts have no lines.
 
         A line goes if a document of the state holds it, or one before it in the batch (by id,
         hash of the text, place; a null id is first). The filters rule out most lines of a
-        batch before refs is read, and take in its new ones.
+        batch before refs is read, and take in its new ones. A document is a row's id and text: one that is held already counts once,
+        and loses every line like another copy. more: as many lines again are to come, times this.
         """
-        lines = lines_of(docs, id_col, text_col, shortest)
-        by = written(self._by_line(lines), "line-batch")
+        lines = written(self._known(lines_of(docs, id_col, text_col, shortest)), "lines")
+        shards = self.shards or max(1, -(-lines.count() * (1 + more) // SHARD_LINES))
+        by = written(self._by_line(lines, shards), "line-batch")
         new, known = by.select("shard", "h"), None
         if self.refs is not None:
             known = written(self.probed(new).filter("maybe").join(self.refs.select("h"), "h", "left_semi").select("shard", "h"), "line-known")
@@ -198,9 +208,15 @@ class LineStore:
         lost = lines.join(again, "h").filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")) & (F.col("at") == F.col("first.at")))).select("id", "th", "at")
         if known is not None:
             lost = lost.union(lines.join(known.select("h"), "h", "left_semi").select("id", "th", "at")).distinct()
-        counts = by.select("shard", "h", "n")
+        held = lines.select("id", "th").distinct()
+        counts = by.filter("n > 0").select("shard", "h", "n")
         refs = written(counts if self.refs is None else self.refs.union(counts).groupBy("shard", "h").agg(F.sum("n").alias("n")), "line-refs")
-        return LineStore(refs, self._grown(new, refs), self.shards), lost
+        held = written(held if self.held is None else held.union(self.held).distinct(), "line-documents")
+        if refs.count() > 2 * SHARD_LINES * shards:
+            shards *= 2
+            refs = written(refs.withColumn("shard", F.pmod(F.col("h"), F.lit(shards)).cast("int")), "line-refs")
+            return LineStore(held, refs, written(filters_of(refs), "line-filters"), shards), lost
+        return LineStore(held, refs, self._grown(new, refs), shards), lost
 
     def _grown(self, new: DataFrame, refs: DataFrame) -> DataFrame:
         """The filters with new hashes; those that would overflow are made anew, and larger, from refs."""
@@ -227,9 +243,17 @@ class LineStore:
         return written(tried.filter("payload IS NOT NULL").union(filters_of(refs.join(over, "shard", "left_semi"))), "line-filters")
 
     def deleted(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST) -> LineStore:
-        """The state without documents that were inserted, given with their texts as they were."""
-        gone = self._by_line(lines_of(docs, id_col, text_col, shortest)).select("shard", "h", (-F.col("n")).alias("n"))
+        """The state without these documents, given with their texts as they were.
+
+        Documents that aren't held, by id and text, change nothing: none that was never inserted or is deleted already, nor null texts.
+        """
+        if self.held is None:
+            return self
+        lines = written(self._known(lines_of(docs, id_col, text_col, shortest)).filter("NOT fresh").withColumn("fresh", F.lit(True)), "lines")
+        gone = self._by_line(lines, self.shards).select("shard", "h", (-F.col("n")).alias("n"))
         refs = written(self.refs.union(gone).groupBy("shard", "h").agg(F.sum("n").alias("n")), "line-refs")
+        ids = lines.select(F.col("id").alias("__i"), F.col("th").alias("__t")).distinct()
+        held = written(self.held.join(ids, F.col("id").eqNullSafe(F.col("__i")) & (F.col("th") == F.col("__t")), "left_anti"), "line-documents")
         out = refs.filter("n <= 0").groupBy("shard").agg(F.collect_list("h").alias("h"))
 
         def forget(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +267,7 @@ class LineStore:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["shard", "payload"])
 
         filters = self.filters.join(out, "shard", "left").select("shard", "payload", "h").mapInArrow(forget, "shard int, payload binary")
-        return LineStore(refs.filter("n > 0"), written(filters, "line-filters"), self.shards)
+        return LineStore(held, refs.filter("n > 0"), written(filters, "line-filters"), self.shards)
 
 
 def filters_of(refs: DataFrame) -> DataFrame:
@@ -256,10 +280,16 @@ def filters_of(refs: DataFrame) -> DataFrame:
 
 
 def without_lines(docs: DataFrame, lost: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_lines: str | None = None, n_lost: str | None = None) -> DataFrame:
-    """docs with the lost lines (id, th, at) cut from their texts; counts of lines before and lost where columns are named for them."""
-    places = lost.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_list("at").alias("__lost"))
+    """docs with the lost lines (id, th, at) cut from their texts; counts of lines before and lost where columns are named for them.
+
+    Only texts that may lose lines are sent anywhere: those whose hash a filter of the hashes of those that do lets
+    through. Null texts lose none; rows alike in id and text lose the same lines.
+    """
+    places = written(lost.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_list("at").alias("__lost")), "line-places")
+    known = filter_of_ids(places.select(F.col("__th").alias("id")), places.count())
     rows = docs.select(F.struct(*docs.columns).alias("d"), *_keys(id_col, text_col))
-    found = rows.join(places, F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), "left")
+    same = among(rows, lambda c: ~known(c), "th").withColumn("__lost", F.lit(None).cast("array<int>")).select("d", "__lost")
+    found = among(rows, known, "th").join(places, F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), "left").select("d", "__lost")
     lines = F.split(F.col(f"d.{text_col}").cast("string"), "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("__lost"))
     text = F.when(F.col("__lost").isNull(), F.col(f"d.{text_col}")).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
@@ -268,17 +298,30 @@ def without_lines(docs: DataFrame, lost: DataFrame, id_col: str = "doc_id", text
         kept.append(F.coalesce(F.when(F.col(f"d.{text_col}").isNotNull(), F.size("lines")), F.lit(0)).cast("bigint").alias(n_lines))
     if n_lost:
         kept.append(F.coalesce(F.size("__lost"), F.lit(0)).cast("bigint").alias(n_lost))
-    return found.withColumn("lines", lines).select(*kept)
+    return same.union(found).withColumn("lines", lines).select(*kept)
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST, n_lines: str | None = "n_lines", n_lost: str | None = "n_lost") -> DataFrame:
-    """docs without the lines that an earlier row holds or that stand earlier in the same text: a store's first batch.
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST, n_lines: str | None = "n_lines", n_lost: str | None = "n_lost", batches: int = BATCHES) -> DataFrame:
+    """docs without the lines that an earlier row holds or that stand earlier in the same text.
 
+    The rows are inserted into an empty store in `batches` parts of about the same size, in the order of their ids.
     Lines are compared by a 64-bit hash without the spaces at their ends; those with fewer than
-    `shortest` characters (blank ones) always stay. Rows come in the order of their ids, null
+    `shortest` characters (blank ones) always stay. Rows come in the order of their ids (integers), null
     first, those that share an id in that of their texts' hashes; rows alike in both are one
     document and lose the same lines. Every row stays, if with an empty text; null texts stay
     null. n_lines and n_lost (lines before, lines lost) replace columns of these names.
     """
-    _, lost = LineStore.empty(shards_for(docs, text_col)).inserted(docs, id_col, text_col, shortest)
+    ends = [None, None]
+    if batches > 1:
+        cuts = docs.agg(F.percentile_approx(F.col(id_col), [k / batches for k in range(1, batches)])).first()[0] or []
+        ends = [None, *sorted(set(cuts)), None]
+    store, lost = LineStore.empty(), None
+    for k, (low, high) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        part = docs
+        if low is not None:
+            part = part.filter(F.col(id_col) > low)
+        if high is not None:
+            part = part.filter(F.col(id_col).isNull() | (F.col(id_col) <= high))
+        store, own = store.inserted(part, id_col, text_col, shortest, len(ends) - 2 - k)
+        lost = own if lost is None else lost.union(own)
     return without_lines(docs, lost, id_col, text_col, n_lines, n_lost)
