@@ -139,5 +139,5 @@ def cosine(a: Column, b: Column, epsilon: float = 1e-12) -> Column:
 
 
 def unit(a: Column, epsilon: float = 1e-12) -> Column:
-    """The vector over its norm plus epsilon."""
-    return F.transform(a, lambda x: x.cast("double") / (norm(a) + epsilon))
+    """The vector over its norm plus epsilon; the norm is worked out once."""
+    return F.transform(F.array(norm(a) + epsilon), lambda n: F.transform(a, lambda x: x.cast("double") / n))[0]

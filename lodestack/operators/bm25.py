@@ -1,63 +1,212 @@
 """Lexical scores of a table of queries against a table of documents.
 
-Queries and documents are (key, array of tokens). Postings are narrowed to the queries' terms
-before anything is counted, so that common words that no query asks for are never shuffled. A
-single query is a table of one row. Results hold the pairs that share a term.
+Queries and documents are (key, array of tokens). Queries are a stated set: they are collected and
+held in blocks, and documents pass them where they lie. A pass that counts the queries' terms comes first,
+one row a term and task; then a batch of documents against a block of queries is one matrix product.
+No posting is sent anywhere, and of a top-k report only what may be in it leaves a task.
+A single query is a table of one row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import rounded
 
-
-def query_terms(queries: DataFrame, query_key: str = "query_id", tokens: str = "tokens") -> DataFrame:
-    """query key, term, times: a term asked for twice counts twice."""
-    return queries.select(query_key, F.explode(tokens).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("times"))
-
-
-def postings(docs: DataFrame, doc_key: str = "doc_id", tokens: str = "tokens") -> DataFrame:
-    """doc key, length, term, tf."""
-    one = docs.select(doc_key, F.greatest(F.size(tokens), F.lit(1)).alias("length"), F.explode(tokens).alias("term"))
-    return one.groupBy(doc_key, "length", "term").agg(F.count("*").alias("tf"))
-
-
-def corpus_totals(docs: DataFrame, tokens: str = "tokens", least: int = 1) -> DataFrame:
-    """One row: n_docs, average length (documents count `least` tokens at least)."""
-    return docs.agg(F.count("*").alias("n_docs"), F.avg(F.greatest(F.size(tokens), F.lit(least))).alias("avg_length"))
-
-
-def bm25(queries: DataFrame, docs: DataFrame, query_key: str = "query_id", doc_key: str = "doc_id", k1: float = 1.2, b: float = 0.75, normalise: bool = True) -> DataFrame:
-    """query key, doc key, score: BM25 with idf ln((N - df + 0.5) / (df + 0.5) + 1), over the query's best score if normalise.
-
-    Documents without a term of the query, empty queries and empty corpora have no rows (score 0).
+#: Queries that a pass over the documents takes; of a block; documents of a matrix product.
+AT_ONCE, QUERIES, DOCS = 4096, 256, 256
+
+
+class _Asked:
+    """The terms of some queries, and how often each query has them."""
+
+    def __init__(self, rows: list[tuple]):
+        self.keys = [k for k, _ in rows]
+        self.terms = list(dict.fromkeys(t for _, ts in rows for t in ts))
+        of = {t: i for i, t in enumerate(self.terms)}
+        self.blocks = []
+        for lo in range(0, len(rows), QUERIES):
+            own = [[of[t] for t in ts] for _, ts in rows[lo : lo + QUERIES]]
+            used = np.unique(np.array([t for ts in own for t in ts], np.int64))
+            times = np.zeros((len(used), len(own)))
+            for q, ts in enumerate(own):
+                np.add.at(times, (np.searchsorted(used, ts), q), 1)
+            self.blocks.append((lo, used, times))
+
+    def places(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each row's tokens that are terms, the row and the term; the number of tokens of each row."""
+        n = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        term = pc.index_in(tokens.flatten(), value_set=pa.array(self.terms, tokens.type.value_type)).fill_null(-1).to_numpy()
+        row = np.repeat(np.arange(len(n)), n)
+        return row[term >= 0], term[term >= 0].astype(np.int64), n
+
+
+def _asked(queries: DataFrame, query_key: str, tokens: str, every: bool) -> list[_Asked]:
+    rows = [(r[0], r[1] or []) for r in queries.select(query_key, tokens).collect()]
+    rows = [r for r in rows if r[1] or every]
+    return [_Asked(rows[i : i + AT_ONCE]) for i in range(0, len(rows), AT_ONCE)]
+
+
+def _counted(docs: DataFrame, asked: _Asked, tokens: str) -> tuple[np.ndarray, int, float, float]:
+    """In how many documents each term is; the number of documents; their mean length, and that where empty ones count 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, totals = np.zeros(len(asked.terms), np.int64), np.zeros(3, np.int64)
+        for b in batches:
+            row, term, n = asked.places(b.column(0))
+            pairs = np.unique(row * len(asked.terms) + term)
+            df += np.bincount(pairs % max(1, len(asked.terms)), minlength=len(df))
+            totals += (len(n), n.sum(), np.maximum(n, 1).sum())
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((at, [-1, -2, -3]))), pa.array(np.concatenate((df[at], totals)))], names=["t", "n"])
+
+    found = {r["t"]: r["n"] for r in docs.select(tokens).mapInArrow(run, "t bigint, n bigint").groupBy("t").agg(F.sum("n").alias("n")).collect()}
+    df = np.zeros(len(asked.terms))
+    for t, n in found.items():
+        if t >= 0:
+            df[t] = n
+    n = found.get(-1, 0)
+    return df, n, found.get(-2, 0) / max(n, 1), found.get(-3, 0) / max(n, 1)
+
+
+def _scored(docs: DataFrame, asked: _Asked, idf: np.ndarray, average: float, k1: float, b: float, names: tuple[str, str], kind: T.DataType, tokens: str, keep: list[str], every: bool, top: int | None, slack: np.ndarray | None, over: np.ndarray | None) -> DataFrame:
+    """query key, doc key, keep, score of the pairs that share a term, or of all; with top, what may be among each query's best, given how far scores may move.
+
+    over: each query's number that its scores are divided by.
+    """
+    query_key, doc_key = names
+    columns = [doc_key, *keep]
+    schema = T.StructType([T.StructField(query_key, kind), *(docs.schema[c] for c in columns), T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = pa.array(asked.keys, to_arrow_type(kind))
+        held: list[tuple[np.ndarray, list[pa.Array], np.ndarray]] = []
+        many, kth = 0, np.full(len(asked.keys), -np.inf)
+
+        def batch(q: np.ndarray, docs_of: list[pa.Array], s: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([keys.take(pa.array(q)), *docs_of, pa.array(s)], names=[query_key, *columns, "score"])
+
+        def pruned() -> tuple[np.ndarray, list[pa.Array], np.ndarray]:
+            q, s = np.concatenate([h[0] for h in held]), np.concatenate([h[2] for h in held])
+            docs_of = [pa.concat_arrays([h[1][c] for h in held]) for c in range(len(columns))]
+            by = np.lexsort((-s, q))
+            start = np.flatnonzero(np.concatenate(([True], q[by][1:] != q[by][:-1])))
+            last = np.minimum(start + top, np.append(start[1:], len(q))) - 1
+            full = last - start == top - 1
+            kth[q[by][start[full]]] = s[by][last[full]]
+            ok = s >= kth[q] - slack[q]
+            if every:
+                # pairs without a common term are all alike: the first keys among them are enough
+                place_of, none = np.empty(len(s), np.int64), s == 0
+                place_of[pc.sort_indices(docs_of[0]).to_numpy()] = np.arange(len(s))
+                by = np.lexsort((place_of, q, ~none))[: none.sum()]
+                start = np.flatnonzero(np.concatenate(([True], q[by][1:] != q[by][:-1])))
+                place = np.arange(len(by)) - np.repeat(start, np.diff(np.append(start, len(by))))
+                ok[by[place >= top]] = False
+            ok = np.flatnonzero(ok)
+            return q[ok], [c.take(pa.array(ok)) for c in docs_of], s[ok]
+
+        for x in batches:
+            row, term, n = asked.places(x.column(len(columns)))
+            for lo in range(0, x.num_rows, DOCS):
+                i, j = np.searchsorted(row, (lo, lo + DOCS))
+                size = min(DOCS, x.num_rows - lo)
+                length = np.maximum(n[lo : lo + size], 1)
+                for first, used, times in asked.blocks:
+                    at = np.searchsorted(used, term[i:j])
+                    mine = at < len(used)
+                    mine[mine] = used[at[mine]] == term[i:j][mine]
+                    tf = np.bincount((row[i:j][mine] - lo) * len(used) + at[mine], minlength=size * len(used)).reshape(size, len(used)).astype(float)
+                    part = idf[used] * tf * (k1 + 1) / (tf + (k1 * (1 - b + b * length / average))[:, None])
+                    score = part @ times
+                    some = np.ones(score.shape, bool) if every else (tf > 0).astype(np.float32) @ (times > 0).astype(np.float32) > 0
+                    if over is not None:
+                        score = score / over[first : first + score.shape[1]]
+                    if top is not None:
+                        mine_q = slice(first, first + score.shape[1])
+                        some &= score >= (kth - slack)[mine_q]
+                    d, q = np.nonzero(some)
+                    if not len(d):
+                        continue
+                    made = (q + first, [x.column(c).take(pa.array(d + lo)) for c in range(len(columns))], score[d, q])
+                    if top is None:
+                        yield batch(*made)
+                        continue
+                    held.append(made)
+                    many += len(d)
+                    if many > 4 * top * len(asked.keys) + (1 << 16):
+                        held = [pruned()]
+                        many = len(held[0][0])
+        if held:
+            yield batch(*pruned())
+
+    return docs.select(*columns, tokens).mapInArrow(run, schema)
+
+
+def _united(parts: list[DataFrame], queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, keep: list[str]) -> DataFrame:
+    if not parts:
+        schema = T.StructType([queries.schema[query_key], *(docs.schema[c] for c in (doc_key, *keep)), T.StructField("score", T.DoubleType())])
+        return queries.sparkSession.createDataFrame([], schema)
+    for p in parts[1:]:
+        parts[0] = parts[0].union(p)
+    return parts[0]
+
+
+def bm25(queries: DataFrame, docs: DataFrame, query_key: str = "query_id", doc_key: str = "doc_id", k1: float = 1.2, b: float = 0.75, normalise: bool = True, tokens: str = "tokens", keep: list[str] | None = None, every: bool = False, top: int | None = None, digits: int = 6) -> DataFrame:
+    """query key, doc key, keep, score: BM25 with idf ln((N - df + 0.5) / (df + 0.5) + 1), over the query's best score if normalise.
+
+    Documents without a term of the query, empty queries and empty corpora have no rows (score
+    0); with every, all pairs have one. keep: columns of docs that come along. With top, rows that can't be among the `top` best of
+    their query are left out, also if scores are rounded to `digits`.
+    """
+    keep, parts = keep or [], []
+    for asked in _asked(queries, query_key, tokens, every):
+        df, n, _, average = _counted(docs, asked, tokens)
+        if not n:
+            continue
+        idf = np.log((n - df + 0.5) / (df + 0.5) + 1)
+        most = np.zeros(len(asked.keys))
+        for first, used, times in asked.blocks:
+            most[first : first + times.shape[1]] = (idf[used] * (k1 + 1)) @ times
+        one = lambda every, top, slack, over: _scored(docs, asked, idf, average, k1, b, (query_key, doc_key), queries.schema[query_key].dataType, tokens, keep, every, top, slack, over)  # noqa: B023, E731
+        over = None
+        if normalise and top is None:
+            best = {r[0]: r[1] for r in one(False, 1, np.zeros(len(most)), None).groupBy(query_key).agg(F.max("score")).collect()}
+            over = np.array([best.get(k) or 1.0 for k in asked.keys])
+        # no score is over `most`, so that rounding moves none by more than this part of it
+        found = one(every, top, None if top is None else 1.1 * 10.0**-digits * (np.maximum(most, 1e-300) if normalise else np.ones(len(most))), over)
+        if normalise and top is not None:
+            best = F.max("score").over(Window.partitionBy(query_key))
+            found = found.withColumn("score", F.when(best > 0, F.col("score") / best).otherwise(0.0))
+        parts.append(found)
+    return _united(parts, queries, docs, query_key, doc_key, keep)
+
+
+def okapi(queries: DataFrame, docs: DataFrame, query_key: str = "query_id", doc_key: str = "doc_id", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, tokens: str = "tokens", keep: list[str] | None = None, every: bool = False, top: int | None = None, digits: int = 6) -> DataFrame:
+    """query key, doc key, keep, score: Okapi BM25; a term in over half of the documents weighs epsilon times the mean idf of all terms.
+
+    every, keep and top are those of bm25().
     """
-    q = query_terms(queries, query_key)
-    p = postings(docs, doc_key).join(q.select("term").distinct(), "term", "left_semi")
-    df = p.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(corpus_totals(docs))).select("term", "avg_length", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
-    scores = p.join(idf, "term").join(q, "term").groupBy(query_key, doc_key).agg(F.sum(part).alias("score"))
-    if not normalise:
-        return scores
-    top = F.max("score").over(Window.partitionBy(query_key))
-    return scores.withColumn("score", F.when(top > 0, F.col("score") / top).otherwise(0.0))
-
-
-def okapi(queries: DataFrame, docs: DataFrame, query_key: str = "query_id", doc_key: str = "doc_id", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """query key, doc key, score: Okapi BM25; a term in over half of the documents weighs epsilon times the mean idf of all terms."""
-    q = query_terms(queries, query_key)
-    every = postings(docs, doc_key)
-    df = every.groupBy("term").agg(F.count("*").alias("df"))
-    totals = corpus_totals(docs, least=0)
-    raw = df.crossJoin(F.broadcast(totals)).withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("idf").alias("mean_idf"))
-    wanted = q.select("term").distinct()
-    idf = raw.join(wanted, "term", "left_semi").crossJoin(F.broadcast(mean)).select("term", "avg_length", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
-    return every.join(wanted, "term", "left_semi").join(idf, "term").join(q, "term").groupBy(query_key, doc_key).agg(F.sum(part).alias("score"))
+    keep, parts, mean = keep or [], [], None
+    for asked in _asked(queries, query_key, tokens, every):
+        df, n, average, _ = _counted(docs, asked, tokens)
+        if not n or not average:
+            continue
+        idf = np.log(n - df + 0.5) - np.log(df + 0.5)
+        if mean is None:
+            every_term = docs.select(F.explode(F.array_distinct(tokens)).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+            mean = every_term.agg(F.avg(F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))).first()[0] or 0.0
+        idf = np.where(idf < 0, epsilon * mean, idf)
+        parts.append(_scored(docs, asked, idf, average, k1, b, (query_key, doc_key), queries.schema[query_key].dataType, tokens, keep, every, top, None if top is None else np.full(len(asked.keys), 1.1 * 10.0**-digits), None))
+    return _united(parts, queries, docs, query_key, doc_key, keep)
 
 
 def top_k(scores: DataFrame, k: int, query_key: str = "query_id", doc_key: str = "doc_id", score: str = "score", digits: int = 6) -> DataFrame:

@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
-import builtins
-import keyword
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import rounded
 
-GENERIC = "self cls args kwargs true false none data value values result item items key keys val vals tmp obj objs out ret return input output".split()
-#: Frozen for the interpreter that builds a plan; a parameter of informative().
-STOP_WORDS = sorted({w.lower() for w in [*keyword.kwlist, *dir(builtins), *GENERIC]})
+#: Keywords and builtins of Python 3.13 and generic names, in lower case: data, so that results don't depend on the interpreter; a parameter of informative().
+STOP_WORDS = """
+    __build_class__ __debug__ __doc__ __import__ __loader__ __name__ __package__ __spec__ _incompleteinputerror abs aiter all and anext any args
+    arithmeticerror as ascii assert assertionerror async attributeerror await baseexception baseexceptiongroup bin blockingioerror bool break breakpoint
+    brokenpipeerror buffererror bytearray bytes byteswarning callable childprocesserror chr class classmethod cls compile complex connectionabortederror
+    connectionerror connectionrefusederror connectionreseterror continue copyright credits data def del delattr deprecationwarning dict dir divmod elif
+    ellipsis else encodingwarning enumerate environmenterror eoferror eval except exception exceptiongroup exec exit false fileexistserror
+    filenotfounderror filter finally float floatingpointerror for format from frozenset futurewarning generatorexit getattr global globals hasattr hash
+    help hex id if import importerror importwarning in indentationerror indexerror input int interruptederror ioerror is isadirectoryerror isinstance
+    issubclass item items iter key keyboardinterrupt keyerror keys kwargs lambda len license list locals lookuperror map max memoryerror memoryview min
+    modulenotfounderror nameerror next none nonlocal not notadirectoryerror notimplemented notimplementederror obj object objs oct open or ord oserror out
+    output overflowerror pass pendingdeprecationwarning permissionerror pow print processlookuperror property pythonfinalizationerror quit raise range
+    recursionerror referenceerror repr resourcewarning result ret return reversed round runtimeerror runtimewarning self set setattr slice sorted
+    staticmethod stopasynciteration stopiteration str sum super syntaxerror syntaxwarning systemerror systemexit taberror timeouterror tmp true try tuple
+    type typeerror unboundlocalerror unicodedecodeerror unicodeencodeerror unicodeerror unicodetranslateerror unicodewarning userwarning val vals value
+    valueerror values vars warning while with yield zerodivisionerror zip
+""".split()
 WEIGHTS = {"cc": 0.25, "loc": 0.15, "pr": 0.25, "tfidf": 0.15, "struct": 0.15, "api": 0.05}
 CAPS = {"loc": 200.0, "cc": 20.0, "tfidf": 2.0}
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .tables import cut
@@ -23,41 +23,47 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct()
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-6, most: int = 100, every: int = 5, fixed: int | None = None) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-6, most: int = 100, fixed: int | None = None) -> DataFrame:
     """qname, rank: weighted PageRank; what nodes without edges hold is dealt to all.
 
     Stops when ranks move by less than tolerance in all, after `most` iterations, or after
-    `fixed` ones if that is given. Lineage is cut every few iterations.
+    `fixed` ones if that is given. Edges are put by their source once and stay there: an iteration sends
+    ranks and sums only, and keeps the ranks, which are read twice, in one job that also tells how far they moved.
     """
     n = nodes.count()
     if not n:
         return nodes.select("qname", F.lit(0.0).alias("rank"))
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    share = cut(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")))
-    now = cut(nodes.select("qname").distinct().join(out.select(F.col("src").alias("qname"), F.lit(False).alias("dangling")), "qname", "left").select("qname", F.coalesce("dangling", F.lit(True)).alias("dangling"), F.lit(1.0 / n).alias("rank")))
+    share = cut(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")).repartition(parts, "src"))
+    now = nodes.select("qname").distinct().join(out.select(F.col("src").alias("qname"), F.lit(False).alias("dangling")), "qname", "left")
+    now = cut(now.select("qname", F.coalesce("dangling", F.lit(True)).alias("dangling"), F.lit(1.0 / n).alias("rank")).repartition(parts, "qname"))
     for k in range(1, (fixed or most) + 1):
         lost = F.broadcast(now.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost")))
         got = share.join(now.select(F.col("qname").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("qname")).agg(F.sum(F.col("p") * F.col("rank")).alias("got"))
         new = now.withColumnRenamed("rank", "old").join(got, "qname", "left").crossJoin(lost)
         new = new.select("qname", "dangling", (alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n) + (1 - alpha) / n).alias("rank"), "old")
-        last = k == (fixed or most)
-        if fixed is None or last or k % every == 0:
-            new = cut(new)
-        done = fixed is None and (new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0) < tolerance
-        now = new.drop("old")
-        if done:
+        moved = Observation()
+        now = cut(new.observe(moved, F.sum(F.abs(F.col("rank") - F.col("old"))).alias("by")).drop("old").repartition(parts, "qname"))
+        if fixed is None and (moved.get["by"] or 0.0) < tolerance:
             break
     return now.select("qname", "rank")
 
 
 def within_depth(seeds: DataFrame, edges: DataFrame, depth: int, by: list[str] | None = None) -> DataFrame:
-    """by, qname, depth: what is reached from the seeds (by, qname) in at most depth steps, at its least depth."""
+    """by, qname, depth: what is reached from the seeds (by, qname) in at most depth steps, at its least depth.
+
+    A step writes what is new and no more; it ends where nothing is.
+    """
     by = by or []
-    seen = cut(seeds.select(*by, "qname", F.lit(0).alias("depth")).distinct())
+    seen = level = cut(seeds.select(*by, "qname", F.lit(0).alias("depth")).distinct())
     for d in range(1, depth + 1):
-        step = seen.filter(F.col("depth") == d - 1).select(*by, F.col("qname").alias("src")).join(edges.select("src", "dst"), "src")
-        new = step.select(*by, F.col("dst").alias("qname")).distinct().join(seen, [*by, "qname"], "left_anti").withColumn("depth", F.lit(d))
-        seen = cut(seen.union(new.select(*by, "qname", "depth")))
+        step = level.select(*by, F.col("qname").alias("src")).join(edges.select("src", "dst"), "src")
+        new = step.select(*by, F.col("dst").alias("qname")).distinct()
+        level = cut(new.join(seen.select(*by, "qname"), [*by, "qname"], "left_anti").select(*by, "qname", F.lit(d).alias("depth")))
+        if level.isEmpty():
+            break
+        seen = seen.union(level)
     return seen
 
 

@@ -1,7 +1,7 @@
 """Python sources to tables: symbols, calls, identifiers, exports, imports, annotations.
 
 Files are parsed once, each in one task, into a row of nested arrays; every table is a
-projection of it. A file that doesn't parse has its error and nothing else.
+projection of it. Of a file that doesn't parse, the statements at its top level that do parse are kept; it has its error besides.
 """
 
 from __future__ import annotations
@@ -9,18 +9,19 @@ from __future__ import annotations
 import ast
 import io
 import keyword
+import re
 import tokenize
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 _S = pa.string()
 _LIST = pa.list_(_S)
-_SYMBOLS = pa.list_(pa.struct([("kind", _S), ("name", _S), ("qname", _S), ("ord", pa.int32()), ("depth", pa.int32()), ("direct", pa.bool_()), ("start_byte", pa.int32()), ("end_byte", pa.int32()), ("lineno", pa.int32()), ("end_lineno", pa.int32()), ("signature", _S), ("docstring", _S), ("body_docstring", _S), ("bases", _S), ("decorators", _LIST), ("is_wrapper", pa.bool_()), ("wrapper_targets", _LIST), ("loc", pa.int32()), ("cc", pa.int32()), ("struct_pairs", pa.int32()), ("struct_size", pa.int32()), ("identifiers", _LIST), ("calls", _LIST), ("body_identifiers", _LIST), ("body_calls", _LIST), ("code", _S)]))
+_SYMBOLS = pa.list_(pa.struct([("kind", _S), ("name", _S), ("qname", _S), ("ord", pa.int32()), ("depth", pa.int32()), ("direct", pa.bool_()), ("last", pa.bool_()), ("first_ord", pa.int32()), ("start_byte", pa.int32()), ("end_byte", pa.int32()), ("lineno", pa.int32()), ("end_lineno", pa.int32()), ("signature", _S), ("docstring", _S), ("body_docstring", _S), ("bases", _S), ("decorators", _LIST), ("is_wrapper", pa.bool_()), ("wrapper_targets", _LIST), ("loc", pa.int32()), ("cc", pa.int32()), ("struct_pairs", pa.int32()), ("struct_size", pa.int32()), ("identifiers", _LIST), ("calls", _LIST), ("body_identifiers", _LIST), ("body_calls", _LIST), ("code", _S)]))
 _IMPORTS = pa.list_(pa.struct([("ord", pa.int32()), ("stmt", _S), ("rendered", _S), ("local", _S), ("full", _S), ("top_level", pa.bool_())]))
 _NOTES = pa.list_(pa.struct([("lineno", pa.int32()), ("end_lineno", pa.int32()), ("type_name", _S)]))
 ARROW = pa.schema([("path", _S), ("module", _S), ("parse_error", _S), ("symbols", _SYMBOLS), ("exports", _LIST), ("main_calls", _LIST), ("variables", _LIST), ("imports", _IMPORTS), ("annotations", _NOTES), ("outline", _S)])
@@ -29,17 +30,56 @@ _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.Match)
 
 
+#: What some editors put before a text; places count it, the parser doesn't take it.
+MARK = "\ufeff"
+
+
+def whole_statements(text: str) -> str:
+    """text with the lines of top-level statements that don't parse left empty, so that all others stay where they are.
+
+    A statement begins at a line that isn't indented; decorators, and lines that close or go on with
+    what is before them, don't begin one.
+    """
+    lines = text.splitlines(keepends=True)
+    begins, decorated = [], False
+    for i, line in enumerate(lines):
+        if line[:1] in ("", " ", "\t", "\n", "\r", "\f", "#", ")", "]", "}") or re.match(r"(?:else|elif|except|finally)\b", line):
+            continue
+        if not decorated:
+            begins.append(i)
+        decorated = line[0] == "@"
+    for lo, hi in zip(begins, [*begins[1:], len(lines)], strict=True):
+        try:
+            ast.parse("".join(lines[lo:hi]))
+        except (SyntaxError, ValueError):
+            for i in range(lo, hi):
+                lines[i] = lines[i][len(lines[i].rstrip("\r\n")) :]
+    if begins:
+        for i in range(begins[0]):
+            lines[i] = lines[i] if lines[i][:1] == "#" else lines[i][len(lines[i].rstrip("\r\n")) :]
+    return "".join(lines) if begins else ""
+
+
 class _File:
     """One parsed file."""
 
     def __init__(self, path: str, module: str, raw: bytes):
         self.module, self.raw = module, raw
-        self.text = raw.decode("utf-8", "replace")
-        self.bytes = self.text.encode()
-        self.tree = ast.parse(self.text)
+        text = raw.decode("utf-8", "replace")
+        self.bytes = text.encode()
         self.starts = [0]
         for line in self.bytes.splitlines(keepends=True):
             self.starts.append(self.starts[-1] + len(line))
+        self.text = text.removeprefix(MARK)
+        if self.text != text:
+            self.starts[0] = len(MARK.encode())  # columns of the first line count from behind the mark
+        self.error: Exception | None = None
+        try:
+            self.tree = ast.parse(self.text)
+        except SyntaxError as e:
+            self.error = e
+            self.text = whole_statements(self.text)
+            self.tree = ast.parse(self.text)
         self._names()
 
     def span(self, node: ast.AST) -> tuple[int, int]:
@@ -107,9 +147,10 @@ def _shape(node: ast.AST) -> tuple[int, int]:
     return len(pairs), size
 
 
-def complexity(node: ast.AST) -> int:
-    """1, one for each branch, loop, handler and match, and one for each boolean operator."""
-    return 1 + sum(isinstance(n, _BRANCHES) for n in ast.walk(node)) + sum(len(n.values) - 1 for n in ast.walk(node) if isinstance(n, ast.BoolOp))
+def complexity(node: ast.AST, operators: bool = True) -> int:
+    """1, one for each branch, loop, handler and match, and one for each boolean operator where these are asked for."""
+    found = 1 + sum(isinstance(n, _BRANCHES) for n in ast.walk(node))
+    return found + sum(len(n.values) - 1 for n in ast.walk(node) if isinstance(n, ast.BoolOp)) if operators else found
 
 
 def _parameters(f: _File, node: ast.FunctionDef | ast.AsyncFunctionDef) -> str:
@@ -272,7 +313,7 @@ def outline(f: _File) -> str:
     return "\n".join(lines) if lines else "[No significant structural elements detected]"
 
 
-def _symbols(f: _File) -> tuple[list[dict], list[dict]]:
+def _symbols(f: _File, operators: bool) -> tuple[list[dict], list[dict]]:
     symbols: list[dict] = []
     notes: list[dict] = []
 
@@ -289,15 +330,15 @@ def _symbols(f: _File) -> tuple[list[dict], list[dict]]:
             a, b = f.span(n)
             decorators, n.decorator_list = n.decorator_list, []  # what decorates isn't part of the definition
             row = {"kind": "class" if isinstance(n, ast.ClassDef) else "function", "name": n.name, "qname": "::".join(filter(None, [f.module, *stack, n.name])), "ord": len(symbols), "depth": len(stack), "direct": direct, "start_byte": a, "end_byte": b, "lineno": n.lineno, "end_lineno": n.end_lineno, "docstring": _first_string(n.body), "decorators": [f.source(d) for d in decorators], "code": f.bytes[a:b].decode("utf-8", "replace"), "loc": n.end_lineno - n.lineno + 1}
-            texts = [s.value.value for s in n.body if isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant) and isinstance(s.value.value, str)]
-            row["body_docstring"] = texts[0].strip(" \n\r\"'") if texts else ""
+            texts = [f.source(s.value) for s in n.body if isinstance(s, ast.Expr) and isinstance(s.value, (ast.Constant, ast.JoinedStr)) and isinstance(getattr(s.value, "value", ""), str)]
+            row["body_docstring"] = texts[0].strip(" \n\r\"'") if texts else ""  # as it is written: a prefix stays
             row["body_identifiers"], row["body_calls"] = _right_to_left(f, n.body)
             if isinstance(n, ast.ClassDef):
                 row |= {"signature": n.name, "bases": _bases(f, n), "is_wrapper": False, "wrapper_targets": []}
             else:
                 pairs, size = _shape(n)
                 targets = _wrapper(f, n)
-                row |= {"signature": n.name + _parameters(f, n), "is_wrapper": bool(targets), "wrapper_targets": targets, "cc": complexity(n), "struct_pairs": pairs, "struct_size": size, "identifiers": f.identifiers(n), "calls": _calls(n)}
+                row |= {"signature": n.name + _parameters(f, n), "is_wrapper": bool(targets), "wrapper_targets": targets, "cc": complexity(n, operators), "struct_pairs": pairs, "struct_size": size, "identifiers": f.identifiers(n), "calls": _calls(n)}
                 args = n.args
                 for x in [*args.args, *args.kwonlyargs, *filter(None, [args.vararg, args.kwarg])]:
                     note(n, x.annotation)
@@ -309,42 +350,50 @@ def _symbols(f: _File) -> tuple[list[dict], list[dict]]:
     return symbols, notes
 
 
-def parsed_file(path: str, module: str, raw: bytes | None) -> dict:
+def parsed_file(path: str, module: str, raw: bytes | None, operators: bool = True) -> dict:
     """All that a file's tables hold of it."""
     row: dict = {"path": path, "module": module, "parse_error": None}
     try:
         f = _File(path, module, raw or b"")
-        row["symbols"], row["annotations"] = _symbols(f)
+        if f.error is not None:
+            row["parse_error"] = f"{type(f.error).__name__}: {f.error}"
+        row["symbols"], row["annotations"] = _symbols(f, operators)
+        first: dict[tuple, int] = {}
+        last: dict[tuple, int] = {}
+        for x in row["symbols"]:
+            first.setdefault((x["kind"], x["qname"]), x["ord"])
+            last[x["kind"], x["qname"]] = x["ord"]
+        for x in row["symbols"]:
+            x |= {"last": last[x["kind"], x["qname"]] == x["ord"], "first_ord": first[x["kind"], x["qname"]]}
         row |= {"exports": _exports(f.tree), "main_calls": _main_calls(f.tree), "variables": _variables(f.tree), "imports": _imports(f), "outline": outline(f)}
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         row |= {"parse_error": f"{type(e).__name__}: {e}", "symbols": [], "annotations": [], "exports": [], "main_calls": [], "variables": [], "imports": [], "outline": f"[AST unavailable: {e}]"}
     return row
 
 
-def parsed(files: DataFrame) -> DataFrame:
-    """files (path, module, src) to a row a file with all its tables nested."""
+def parsed(files: DataFrame, operators: bool = True) -> DataFrame:
+    """files (path, module, src) to a row a file with all its tables nested; operators: whether boolean ones count as complexity."""
     from pyspark.sql.pandas.types import from_arrow_schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p, m, s in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                yield pa.RecordBatch.from_pylist([parsed_file(p, m, s)], schema=ARROW)
+                yield pa.RecordBatch.from_pylist([parsed_file(p, m, s, operators)], schema=ARROW)
 
     return files.select("path", "module", "src").mapInArrow(run, from_arrow_schema(ARROW))
 
 
 def symbols(files: DataFrame, kind: str | None = None) -> DataFrame:
-    """One row a qualified name: of those defined again the last definition, in the first one's place."""
-    one = files.select("path", "module", F.explode("symbols").alias("s")).select("path", "module", "s.*")
+    """One row a qualified name: of those defined again the last definition, in the first one's place; the parser has marked them."""
+    one = files.select("path", "module", F.explode(F.filter("symbols", lambda s: s["last"])).alias("s")).select("path", "module", "s.*")
     if kind:
         one = one.filter(F.col("kind") == kind)
-    last = Window.partitionBy("path", "kind", "qname")
-    return one.withColumns({"__last": F.max("ord").over(last), "__first": F.min("ord").over(last)}).filter("ord = __last").withColumn("ord", F.col("__first")).drop("__last", "__first")
+    return one.withColumn("ord", F.col("first_ord")).drop("last", "first_ord")
 
 
 def top_level(files: DataFrame) -> DataFrame:
     """The symbols of single-file retrieval: direct children of the module, each definition a row."""
-    return files.select("path", "module", F.explode("symbols").alias("s")).select("path", "module", "s.*").filter("direct")
+    return files.select("path", "module", F.explode("symbols").alias("s")).select("path", "module", "s.*").filter("direct").drop("last", "first_ord")
 
 
 def call_sites(files: DataFrame) -> DataFrame:

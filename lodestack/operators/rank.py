@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import rounded
+from .tables import cut
 
 
 def ranked(scores: DataFrame, by: list[str], key: str = "key", score: str = "score") -> DataFrame:
@@ -29,12 +30,23 @@ def fused_ranks(*ranks: Column, k: int = 60) -> Column:
     return sum((1 / (F.lit(k) + r + 1) for r in ranks[1:]), 1 / (F.lit(k) + ranks[0] + 1))
 
 
-def table_ranked(rows: DataFrame, score: str, key: str = "key") -> DataFrame:
-    """rows with rank from 0 over the whole table by score, then key: only the distinct scores meet in one task."""
-    above = F.coalesce(F.sum("n").over(Window.orderBy(F.desc_nulls_last(score)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = rows.groupBy(score).agg(F.count("*").alias("n")).select(F.col(score).alias("__score"), above.alias("above"))
-    within = F.row_number().over(Window.partitionBy(score).orderBy(F.asc(key))) - 1
-    return rows.withColumn("rank", within).join(starts, F.col(score).eqNullSafe(F.col("__score"))).withColumn("rank", F.col("rank") + F.col("above")).drop("__score", "above")
+def ranked_whole(scores: DataFrame, by: list[str], key: str = "key", score: str = "score") -> DataFrame:
+    """ranked() at any size of a group: rows are sorted across tasks, and a task's ranks start where the ones before it end.
+
+    Without by, the whole table is one group. Null scores come last. Only a row a task and group is sent for the
+    starts, and these are broadcast: no more than tasks and groups together.
+    """
+    order = [*by, F.desc_nulls_last(score), F.asc(key)]
+    rows = cut(scores).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = cut(rows.withColumn("__at", F.monotonically_increasing_id()).withColumn("__task", F.shiftrightunsigned("__at", 33)))
+    starts = rows.groupBy("__task", *by).agg(F.count("*").alias("__n"), F.min("__at").alias("__from"))
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    same = F.col("__task") == F.col("__t")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    starts = starts.select(F.col("__task").alias("__t"), *(F.col(c).alias(f"__by_{c}") for c in by), "__from", "__before")
+    return rows.join(F.broadcast(starts), same).withColumn("rank", (F.col("__at") - F.col("__from") + F.col("__before")).cast("bigint")).select(*scores.columns, "rank")
 
 
 def over_max(scores: DataFrame, by: list[str], score: str = "score") -> DataFrame:
@@ -95,6 +107,13 @@ def hybrid_scores(lexical: DataFrame, by: list[str], key: str = "key", k: int =
     return fused.join(tops, by)
 
 
+def hybrid_scores_of(ranked: DataFrame, by: list[str], k: int = 60) -> DataFrame:
+    """hybrid_scores() of one channel with its full ranks (rank, score), with fused and top_lexical: tops are a row a group and broadcast."""
+    one = ranked.withColumn("fused", fused_ranks(F.col("rank"), k=max(1, k)))
+    tops = one.groupBy(*by).agg(F.max("score").alias("top_lexical"), F.max("fused").alias("__top"))
+    return one.join(F.broadcast(tops), by).withColumn("fused", F.col("fused") / F.when(F.col("__top") != 0, F.col("__top")).otherwise(1.0)).drop("__top")
+
+
 def should_retrieve(query: Column, top_lexical: Column, top_dense: Column, lexical_least: float = 0.05, dense_least: float = 0.05) -> Column:
     """A query that isn't empty and has one hit at least that is good enough."""
     return (F.coalesce(query, F.lit("")) != "") & (F.coalesce(top_lexical >= lexical_least, F.lit(False)) | F.coalesce(top_dense >= dense_least, F.lit(False)))
@@ -119,17 +138,21 @@ def reranked_scaled(by: list[str], lexical: str = "score", similarity: str = "si
 
 
 def gated_seeds(candidates: DataFrame, by: list[str], top_k: int, least: float, key: str = "key") -> DataFrame:
-    """by, key, pos: seeds under the lexical gate.
+    """by, key, final, pos: seeds under the lexical gate.
 
     candidates hold by, key, final (score), lex_rank (from 0, null if not ranked), passes. The
     first round(least x top_k) of the lexical ranking that pass come first, then those that pass
     by score until top_k; if none passes, the top_k by score. One more than top_k can't result:
-    a list that is full of lexical seeds is cut to top_k.
+    a list that is full of lexical seeds is cut to top_k. Only the first rows of each order are put together.
     """
     need = max(0, min(top_k, round(least * top_k)))
     w = Window.partitionBy(*by)
-    c = candidates.withColumn("lex_pos", F.when(F.col("passes") & F.col("lex_rank").isNotNull(), F.row_number().over(w.orderBy(F.desc(F.col("passes") & F.col("lex_rank").isNotNull()), "lex_rank", key))))
-    c = c.withColumns({"first": F.coalesce(F.col("lex_pos") <= need, F.lit(False)), "any": F.max("passes").over(w)})
-    c = c.filter(F.col("passes") | ~F.col("any"))
-    order = w.orderBy(F.desc("first"), F.when(F.col("first"), F.col("lex_pos")), F.desc("final"), key)
-    return c.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= top_k).select(*by, key, "final", "pos")
+    first = candidates.filter(F.col("passes") & F.col("lex_rank").isNotNull())
+    first = first.withColumn("at", F.row_number().over(w.orderBy("lex_rank", key))).filter(F.col("at") <= need)
+    best = w.orderBy(F.desc("final"), key)
+    passing = candidates.filter("passes").withColumn("at", F.row_number().over(best)).filter(F.col("at") <= top_k + need)
+    none = candidates.withColumn("at", F.row_number().over(best)).filter(F.col("at") <= top_k)
+    none = none.join(candidates.filter("passes").select(*by).distinct(), by, "left_anti")
+    rows = first.select(*by, key, "final", "at").union(passing.union(none).select(*by, key, "final", F.col("at") + need))
+    one = rows.groupBy(*by, key).agg(F.min("at").alias("at"), F.max("final").alias("final"))
+    return one.withColumn("pos", F.row_number().over(w.orderBy("at"))).filter(F.col("pos") <= top_k).select(*by, key, "final", "pos")

@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 def knapsack(items: DataFrame, by: list[str], budget: int, key: str = "key", benefit: str = "benefit", cost: str = "cost") -> DataFrame:
     """by, key, pos: greedy by benefit per cost, then benefit, then less cost, then key; what doesn't fit is passed over.
 
-    Costs under 1 count as 1. The fold runs over each group's sorted array inside the JVM.
+    Costs under 1 count as 1. As room only shrinks, of the items of one cost no more can be taken than fit into
+    the whole budget, and the first ones: the rest are left out before a group is put together, in
+    an array of no more than budget x ln(budget) or so, over which a fold runs inside the JVM.
     """
-    one = F.greatest(F.col(cost), F.lit(1)).cast("bigint")
+    one = F.greatest(F.coalesce(F.col(cost), F.lit(1)), F.lit(1)).cast("bigint")
     if budget <= 0:
         return items.select(*by, key, F.lit(0).alias("pos")).limit(0)
-    row = F.struct((-F.col(benefit) / one).alias("ratio"), (-F.col(benefit)).alias("gain"), one.alias("cost"), F.col(key).alias("key"))
-    grouped = items.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    alike = Window.partitionBy(*by, "__cost").orderBy(F.desc(benefit), key)
+    some = items.withColumn("__cost", one).filter(F.col("__cost") <= budget).withColumn("__i", F.row_number().over(alike)).filter(F.col("__i") <= budget).filter(F.col("__i") * F.col("__cost") <= budget)
+    row = F.struct((-F.col(benefit) / F.col("__cost")).alias("ratio"), (-F.col(benefit)).alias("gain"), F.col("__cost").alias("cost"), F.col(key).alias("key"))
+    grouped = some.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("rows"))
     kind = items.schema[key].dataType.simpleString()
     zero = F.struct(F.lit(budget).cast("bigint").alias("left"), F.array().cast(f"array<{kind}>").alias("out"))
 

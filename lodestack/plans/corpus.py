@@ -44,9 +44,9 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, sect, k, sub, kind, name, txt."""
     text = BLOCKS
     for t in TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"corpus_{t}")
-        text = text.replace(f"FROM {t} ", f"FROM corpus_{t} ").replace(f"FROM {t}\n", f"FROM corpus_{t}\n").replace(f"JOIN {t} ", f"JOIN corpus_{t} ")
-    return spark.sql(text)
+        for before in ("FROM", "JOIN"):
+            text = text.replace(f"{before} {t} ", f"{before} {{{t}}} ").replace(f"{before} {t}\n", f"{before} {{{t}}}\n")
+    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES})
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:

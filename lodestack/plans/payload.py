@@ -11,22 +11,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import bm25, chunk, features, graph, parse, rank, select
+from ..operators import bm25, chunk, embed, features, graph, parse, rank, select
+from ..operators.tables import cut
 from ..sources.code import file_module
 
 IDENTIFIER_CAP, BODY_CAP, CLASS_CAP = 256, 120, 10
 NODE = ("type", "name", "qname", "module", "path", "lineno", "end_lineno", "signature", "docstring", "score")
 
 
-def file_documents(parsed: DataFrame) -> DataFrame:
-    """The documents of single-file retrieval: top-level symbols with their bags of tokens and their order."""
-    one = parse.top_level(parsed).withColumn("module", file_module(F.col("path")))
+def file_documents(parsed: DataFrame, variables: bool = False) -> DataFrame:
+    """The documents of single-file retrieval: top-level symbols with their bags of tokens and their order.
+
+    With variables, those of the module too: documents of a name alone, after all others, whose span is empty.
+    """
+    one = parse.top_level(parsed)
+    if variables:
+        own = parse.variables(parsed).select("path", "module", F.lit("variable").alias("kind"), "name", (F.col("ord") + (1 << 20)).alias("ord"), F.col("name").alias("signature"), F.lit("").alias("body_docstring"), F.lit(0).alias("start_byte"), F.lit(0).alias("end_byte"))
+        one = one.unionByName(own, allowMissingColumns=True)
+    one = one.withColumn("module", file_module(F.col("path"))).withColumn("body_calls", F.coalesce("body_calls", F.array().cast("array<string>")))
     qname = F.concat_ws("::", "module", "name")
     ids = F.slice(F.transform(F.coalesce("body_identifiers", F.array().cast("array<string>")), F.lower), 1, IDENTIFIER_CAP)
     bag = F.concat(T.normalized("name"), T.normalized(qname), T.normalized("body_docstring"), ids, T.normalized("signature"))
     return one.select("path", "module", "kind", "name", qname.alias("qname"), "ord", "start_byte", "end_byte", "lineno", "end_lineno", "signature", F.nullif("body_docstring", F.lit("")).alias("docstring"), "body_calls", bag.alias("tokens"), F.concat_ws("#", "path", F.format_string("%08d", "ord")).alias("doc_id"))
 
 
+def semantic_rerank(pool: DataFrame, docs: DataFrame, sources: DataFrame, queries: DataFrame, encode: embed.Encoder) -> DataFrame:
+    """pool (query_id, doc_id, score, rank) with score half the old one and half the cosine to the query's vector, ranked anew."""
+    some = pool.select("doc_id").distinct().join(docs, "doc_id").join(sources.select("path", "src"), "path")
+    shown = embed.document_text(F.col("qname"), F.col("signature"), F.col("docstring"), F.substring("src", F.col("start_byte") + 1, F.col("end_byte") - F.col("start_byte")))
+    dv = embed.embedded(some.select("doc_id", shown.alias("text")), "doc_id", "text", encode).withColumnRenamed("v", "dv")
+    qv = embed.embedded(queries.select("query_id", "query"), "query_id", "query", encode).withColumnRenamed("v", "qv")
+    both = pool.drop("rank").join(dv, "doc_id").join(qv, "query_id").withColumn("similarity", T.cosine(F.col("qv"), F.col("dv")))
+    return bm25.top_k(both.select("query_id", "doc_id", rank.reranked_half(both).alias("score")), (1 << 31) - 1)
+
+
 def call_basenames(docs: DataFrame) -> DataFrame:
     """src (doc_id), callee, ord: last parts of called names, each once, in order of first call."""
     one = docs.select("path", F.col("doc_id").alias("src"), F.posexplode("body_calls").alias("ord", "c"))
@@ -38,16 +56,19 @@ def node(score: Column, kind: str = "kind") -> Column:
     return F.struct(F.col(kind).alias("type"), "name", "qname", "module", "path", "lineno", "end_lineno", "signature", "docstring", score.alias("score"))
 
 
-def from_files(parsed: DataFrame, sources: DataFrame, queries: DataFrame, top_k: int = 6, prefilter: int = 300, depth: int = 1, max_add: int = 12, hard_cap: int = 1200, soft_cap: int = 1800, tokens: str = "bytes4") -> DataFrame:
+def from_files(parsed: DataFrame, sources: DataFrame, queries: DataFrame, top_k: int = 6, prefilter: int = 300, depth: int = 1, max_add: int = 12, hard_cap: int = 1200, soft_cap: int = 1800, tokens: str = "bytes4", encode: embed.Encoder | None = None, variables: bool = False) -> DataFrame:
     """query_id, payload: the best top-level symbols of the files, their callees, and the code of both.
 
     Symbols added by the walk have no score. top_k 0 chooses nothing, and the code is then that of whole files.
+    With encode, the prefilter's symbols are ranked by half their score and half their similarity to the query.
     """
-    docs = file_documents(parsed)
+    docs = file_documents(parsed, variables)
     asked = queries.select("query_id", T.normalized("query").alias("tokens"))
-    scored = bm25.okapi(asked, docs)
-    every = queries.select("query_id").crossJoin(docs.select("doc_id")).join(scored, ["query_id", "doc_id"], "left").fillna(0.0, ["score"])
-    pool = bm25.top_k(every, min(prefilter, top_k))
+    most = max(1, prefilter if encode else min(prefilter, top_k))
+    pool = bm25.top_k(bm25.okapi(asked, docs, every=True, top=most), most).filter(F.col("rank") <= prefilter)
+    if encode:
+        pool = semantic_rerank(pool, docs, sources, queries, encode)
+    pool = pool.filter(F.col("rank") <= top_k)
     seeds = pool.select("query_id", F.col("doc_id").alias("qname"), F.col("rank").alias("pos"), "score")
     calls = call_basenames(docs)
     edges = calls.join(docs.select("path", F.col("name").alias("callee"), F.col("doc_id").alias("dst")), ["path", "callee"]).select("src", "dst", "ord", "callee")
@@ -90,14 +111,16 @@ def static_scores(parsed: DataFrame, fixed: int | None = None) -> DataFrame:
 
 
 def repo_scores(parsed: DataFrame, base: DataFrame, queries: DataFrame, weight: float = 0.5) -> DataFrame:
-    """query_id, qname, score: the base score blended with BM25 over name, qname and path; an empty query leaves the base."""
-    functions = parse.symbols(parsed, "function")
-    docs = functions.select(F.col("qname").alias("doc_id"), T.identifiers(F.concat_ws(" ", "name", "qname", "path")).alias("tokens"))
+    """query_id, qname, score: the base score blended with BM25 over name, qname and path; an empty query leaves the base.
+
+    Functions meet the stated queries where they lie, with their base scores beside them.
+    """
+    functions = parse.symbols(parsed, "function").join(base.select("qname", "base"), "qname")
+    docs = functions.select("qname", "base", T.identifiers(F.concat_ws(" ", "name", "qname", "path")).alias("tokens"))
     asked = queries.select("query_id", T.identifiers("query").alias("tokens"))
-    lexical = bm25.bm25(asked, docs).withColumnRenamed("doc_id", "qname").withColumnRenamed("score", "lex")
-    every = queries.crossJoin(base.select("qname", "base")).join(lexical, ["query_id", "qname"], "left")
+    every = bm25.bm25(asked, docs, doc_key="qname", keep=["base"], every=True).join(F.broadcast(queries.select("query_id", "query")), "query_id")
     blank = F.coalesce(F.col("query"), F.lit("")) == ""
-    return every.select("query_id", "qname", F.when(blank, F.col("base")).otherwise(rank.blended(F.col("base"), F.col("lex"), weight)).alias("score"))
+    return every.select("query_id", "qname", F.when(blank, F.col("base")).otherwise(rank.blended(F.col("base"), F.col("score"), weight)).alias("score"))
 
 
 def class_closure(parsed: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -161,21 +184,51 @@ def rich_documents(parsed: DataFrame) -> DataFrame:
     return one.select(F.col("qname").alias("doc_id"), F.concat(head, F.slice(T.identifiers("code"), 1, BODY_CAP)).alias("tokens"))
 
 
-def hybrid_candidates(parsed: DataFrame, base: DataFrame, queries: DataFrame, weight: float = 0.5, least: float = 0.0, k: int = 60) -> DataFrame:
-    """query_id, key, final, lex_rank, passes of every function: BM25 over rich documents, fused, blended with the base score, gated."""
+def hybrid_candidates(parsed: DataFrame, base: DataFrame, queries: DataFrame, weight: float = 0.5, least: float = 0.0, k: int = 60, encode: embed.Encoder | None = None) -> DataFrame:
+    """query_id, key, final, lex_rank, passes of every function: BM25 over rich documents, fused, blended with the base score, gated.
+
+    With encode, the similarity of functions' texts to the query is a second channel of the fusion.
+    """
     asked = queries.select("query_id", T.expanded("query").alias("tokens"))
-    lexical = bm25.bm25(asked, rich_documents(parsed)).withColumnRenamed("doc_id", "key")
-    every = queries.crossJoin(base.select(F.col("qname").alias("key"), "base")).join(lexical, ["query_id", "key"], "left").fillna(0.0, ["score"]).withColumn("score", T.rounded(F.col("score")))
-    ranked = rank.ranked(every, ["query_id"])
+    functions = parse.symbols(parsed, "function")
+    docs = rich_documents(parsed).join(base.select(F.col("qname").alias("doc_id"), "base"), "doc_id").withColumnRenamed("doc_id", "key")
+    every = bm25.bm25(asked, docs, doc_key="key", keep=["base"], every=True).withColumn("score", T.rounded(F.col("score")))
+    one = rank.ranked_whole(every, ["query_id"])
     fused = F.lit(1.0) / (k + F.col("rank") + 1)
-    functions = parse.symbols(parsed, "function").select(F.col("qname").alias("key"), F.concat_ws(" ", "qname", "signature", "docstring").alias("shown"))
-    one = ranked.withColumn("final", rank.blended(F.col("base"), fused, weight)).join(functions, "key").withColumn("want", T.alnum_tokens(F.concat_ws(" ", T.expanded("query"))))
+    if encode:
+        texts = functions.select(F.col("qname").alias("key"), F.concat_ws(" ", "name", "signature", F.concat_ws(" ", "identifiers"), "code").alias("text"))
+        dense = rank.ranked_whole(embed.similarities(embed.embedded(texts, "key", "text", encode), queries, encode).withColumn("similarity", T.rounded(F.col("similarity"))), ["query_id"], score="similarity")
+        one = one.join(dense.select("query_id", "key", F.col("rank").alias("dense_rank")), ["query_id", "key"], "left")
+        fused += F.coalesce(F.lit(1.0) / (k + F.col("dense_rank") + 1), F.lit(0.0))
+    shown = functions.select(F.col("qname").alias("key"), F.concat_ws(" ", "qname", "signature", "docstring").alias("shown"))
+    wanted = queries.select("query_id", T.alnum_tokens(F.concat_ws(" ", T.expanded("query"))).alias("want"))
+    one = one.withColumn("final", rank.blended(F.col("base"), fused, weight)).join(shown, "key").join(F.broadcast(wanted), "query_id")
     return one.select("query_id", "key", "final", F.col("rank").alias("lex_rank"), T.passes("shown", F.col("want"), least).alias("passes"))
 
 
-def from_hybrid(parsed: DataFrame, base: DataFrame, queries: DataFrame, top_k: int = 8, depth: int = 1, weight: float = 0.5, least: float = 0.0, max_tokens: int | None = None) -> DataFrame:
+def seeds_and_expanded(scores: DataFrame, functions: DataFrame, queries: DataFrame, edges: DataFrame, top_k: int, depth: int, least: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(query_id, qname, final, pos) of the seeds, and of the widened list: gated by coverage, widened both ways, ranked again, cut to top_k.
+
+    scores: query_id, qname, final; functions: qname, code; queries: query_id, query. The gate asks for the
+    share of the query's Unicode words, repeats counted, that a function's code holds; a query without words passes all.
+    """
+    rows = scores
+    if least > 0:
+        wanted = F.broadcast(queries.select("query_id", T.word_tokens("query").alias("want")))
+        rows = scores.join(functions.select("qname", "code"), "qname").join(wanted, "query_id")
+        rows = rows.filter((F.size("want") == 0) | (T.coverage("code", F.col("want"), distinct=False) >= least)).select("query_id", "qname", "final")
+    best = Window.partitionBy("query_id").orderBy(F.desc("final"), "qname")
+    seeds = cut(rows.withColumn("pos", F.row_number().over(best)).filter(F.col("pos") <= top_k))
+    if top_k <= 0 or depth <= 0:
+        return seeds, seeds
+    near = graph.within_depth(seeds.select("query_id", "qname"), edges, depth, ["query_id"]).select("query_id", "qname")
+    wide = near.join(scores.select("query_id", "qname", "final"), ["query_id", "qname"], "left").fillna(0.0, ["final"])
+    return seeds, wide.withColumn("pos", F.row_number().over(best)).filter(F.col("pos") <= top_k)
+
+
+def from_hybrid(parsed: DataFrame, base: DataFrame, queries: DataFrame, top_k: int = 8, depth: int = 1, weight: float = 0.5, least: float = 0.0, max_tokens: int | None = None, encode: embed.Encoder | None = None) -> DataFrame:
     """query_id, payload: gated seeds, widened along the call graph while there is room; ten classes of their modules at most; code within 4 x max_tokens characters."""
-    candidates = hybrid_candidates(parsed, base, queries, weight, least)
+    candidates = cut(hybrid_candidates(parsed, base, queries, weight, least, encode=encode))
     seeds = rank.gated_seeds(candidates, ["query_id"], top_k, least).withColumnRenamed("key", "qname")
     functions = parse.symbols(parsed, "function")
     edges = graph.both_ways(graph.call_edges(parse.call_sites(parsed), functions))

@@ -59,26 +59,32 @@ def call_edges(spark, sf_dir):
     return edges_of(parsed(spark, sf_dir))[1]
 
 
-@query(f"""WITH RECURSIVE {B},
-n AS (SELECT count(*) AS n FROM fn WHERE stays), ot AS (SELECT src, sum(weight) AS total FROM ed GROUP BY src),
+def _ranks(most: int) -> str:
+    """pr: the ranks of every function after each of the first iterations."""
+    return f"""n AS (SELECT count(*) AS n FROM fn WHERE stays), ot AS (SELECT src, sum(weight) AS total FROM ed GROUP BY src),
 pr AS (
   SELECT 0 AS it, qname, 1.0::DOUBLE / n AS rank FROM fn, n WHERE stays
   UNION ALL
-  SELECT it + 1, qname, 0.85 * (sum(got) + any_value(lost) / n) + 0.15 / n FROM (
+  SELECT it + 1, qname, 0.85 * (sum(got) + max(lost) / n) + 0.15 / n FROM (
     SELECT p.it, p.qname, 0.0::DOUBLE AS got, (SELECT coalesce(sum(x.rank), 0) FROM pr x WHERE x.qname NOT IN (SELECT src FROM ot)) AS lost FROM pr p
     UNION ALL SELECT p.it, ed.dst, p.rank * ed.weight / ot.total, 0 FROM pr p JOIN ed ON ed.src = p.qname JOIN ot ON ot.src = p.qname
-  ), n WHERE it < {ITERATIONS} GROUP BY it, qname, n
-)
-SELECT qname, floor(rank * 1e9 + 0.5) / 1e9 AS rank FROM pr WHERE it = {ITERATIONS}""".replace("any_value(lost)", "max(lost)"))
+  ), n WHERE it < {most} GROUP BY it, qname, n
+)"""
+
+
+@query(f"WITH RECURSIVE {B}, {_ranks(ITERATIONS)} SELECT qname, floor(rank * 1e9 + 0.5) / 1e9 AS rank FROM pr WHERE it = {ITERATIONS}")
 def pagerank_fixed(spark, sf_dir):
     functions, edges = edges_of(parsed(spark, sf_dir))
     return graph.pagerank(functions.select("qname"), edges, fixed=ITERATIONS).withColumn("rank", T.rounded(F.col("rank"), 9))
 
 
-@query()
+@query(f"""WITH RECURSIVE {B}, {_ranks(100)},
+er AS (SELECT b.it, sum(abs(b.rank - a.rank)) AS moved FROM pr a JOIN pr b ON b.it = a.it + 1 AND b.qname = a.qname GROUP BY b.it),
+en AS (SELECT coalesce(min(it) FILTER (WHERE moved < 1e-6), 100) AS it FROM er)
+SELECT qname, floor(rank * 1e9 + 0.5) / 1e9 AS rank FROM pr JOIN en USING (it)""")
 def pagerank(spark, sf_dir):
     functions, edges = edges_of(parsed(spark, sf_dir))
-    return graph.pagerank(functions.select("qname"), edges)
+    return graph.pagerank(functions.select("qname"), edges).withColumn("rank", T.rounded(F.col("rank"), 9))
 
 
 _NEAR = "bo AS (SELECT src, dst FROM ed UNION SELECT dst, src FROM ed)"
@@ -114,14 +120,38 @@ def slice_depth(spark, sf_dir):
     return graph.within_depth(_seeds(functions), graph.both_ways(edges), 1, ["query_id"])
 
 
-@query()
+_SEED = "se AS (SELECT path AS query_id, min(qname) AS qname FROM fn WHERE stays GROUP BY path)"
+
+
+# the list is the queue: node p, its callee c; once it is full each further callee adds its first match at most
+@query(f"""WITH RECURSIVE {B}, {_SEED},
+gr AS (SELECT src, list(dsts ORDER BY callee) AS gs FROM (SELECT src, string_split(dst, '::')[-1] AS callee, list(dst ORDER BY dst) AS dsts FROM ed GROUP BY 1, 2) GROUP BY src),
+go AS (
+  SELECT query_id, [qname] AS al, 1::BIGINT AS p, 1::BIGINT AS c, 1::BIGINT AS last, 1 AS level FROM se
+  UNION ALL
+  SELECT query_id,
+    CASE WHEN g IS NULL THEN al WHEN len(al) < 13 THEN list_concat(al, list_filter(g, lambda x: NOT list_contains(al, x))[1:13 - len(al)]) WHEN list_contains(al, g[1]) THEN al ELSE list_append(al, g[1]) END,
+    CASE WHEN g IS NULL THEN p + 1 ELSE p END, CASE WHEN g IS NULL THEN 1 ELSE c + 1 END,
+    CASE WHEN g IS NULL AND p = last THEN len(al) ELSE last END, CASE WHEN g IS NOT NULL OR p < last THEN level WHEN len(al) >= 13 THEN 9 ELSE level + 1 END
+  FROM (SELECT go.*, gs[c] AS g FROM go LEFT JOIN gr ON gr.src = al[p]) WHERE p <= last AND level <= 2
+),
+en AS (SELECT query_id, arg_max(al, len(al)) AS al FROM go GROUP BY query_id)
+SELECT query_id, unnest(al) AS qname, CAST(unnest(range(1, len(al) + 1)) AS INT) AS pos FROM en""")
 def expand_capped(spark, sf_dir):
     functions, edges = edges_of(parsed(spark, sf_dir))
     ordered = edges.withColumns({"callee": F.element_at(F.split("dst", "::"), -1), "ord": F.lit(0)})
     return graph.expanded(_seeds(functions).withColumn("pos", F.lit(1)), ordered.select("src", "dst", "ord", "callee"), 2, 12)
 
 
-@query()
+@query(f"""WITH RECURSIVE {B}, {_NEAR}, {_SEED},
+nb AS (SELECT src, list(dst ORDER BY f.end_lineno - f.lineno DESC, dst) AS near FROM bo JOIN fn f ON f.qname = dst AND f.stays GROUP BY src),
+go AS (
+  SELECT query_id, [qname] AS al, 1 AS p FROM se
+  UNION ALL
+  SELECT query_id, list_concat(al, list_filter(coalesce(near, []), lambda x: NOT list_contains(al, x))[1:8 - len(al)]), p + 1 FROM go LEFT JOIN nb ON nb.src = al[p] WHERE p <= len(al)
+),
+en AS (SELECT query_id, al FROM go WHERE p = len(al) + 1)
+SELECT query_id, unnest(al) AS qname, CAST(unnest(range(1, len(al) + 1)) AS INT) AS pos FROM en""")
 def walk_fused(spark, sf_dir):
     functions, edges = edges_of(parsed(spark, sf_dir))
     seeds = _seeds(functions).withColumn("pos", F.lit(1))

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import bm25, cover, rank, select, similar
+from ..operators.tables import cut
 from .texts import IDENT, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-#: Documents kept for each query.
-K = 10
+#: Documents kept for each query; those that a lexical prefilter leaves to a rerank; those of a list to be packed.
+K, PREFILTER, PACKED = 10, 300, 100
 
 
 def query(sql: str | None = None):
@@ -57,58 +58,68 @@ TOP = "SELECT * FROM (SELECT query_id, doc_id, score, CAST(row_number() OVER (PA
 
 @query(f"WITH {BM} {TOP.format(K)}")
 def bm25_norm_topk(spark, sf_dir):
-    return bm25.top_k(bm25.bm25(passages(spark, sf_dir), documents(spark, sf_dir)), K)
+    return bm25.top_k(bm25.bm25(passages(spark, sf_dir), documents(spark, sf_dir), top=K), K)
 
 
 @query(f"WITH {OKAPI} {TOP.format(K)}")
 def bm25_okapi_topk(spark, sf_dir):
-    return bm25.top_k(bm25.okapi(passages(spark, sf_dir), documents(spark, sf_dir)), K)
+    return bm25.top_k(bm25.okapi(passages(spark, sf_dir), documents(spark, sf_dir), top=K), K)
 
 
-def _hits(spark, sf_dir, k: int = 100) -> DataFrame:
-    """query_id, key, score, rank (from 0) of the lexical channel."""
-    return bm25.top_k(bm25.bm25(passages(spark, sf_dir), documents(spark, sf_dir)), k).select("query_id", F.col("doc_id").alias("key"), "score", (F.col("rank") - 1).alias("rank"))
+def _hits(spark, sf_dir, k: int) -> DataFrame:
+    """query_id, key, score, rank (from 0): a lexical prefilter, as the operators have it that go by one."""
+    return bm25.top_k(bm25.bm25(passages(spark, sf_dir), documents(spark, sf_dir), top=k), k).select("query_id", F.col("doc_id").alias("key"), "score", (F.col("rank") - 1).alias("rank"))
 
 
-def _sizes(spark, sf_dir) -> DataFrame:
-    """key, base: the structural channel here is the number of characters over its maximum."""
+def _sized(spark, sf_dir) -> DataFrame:
+    """key, text, base, cost: the structural channel here is the number of characters over its maximum."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select(F.col("doc_id").alias("key"), F.col("n_chars")).crossJoin(F.broadcast(docs.agg(F.max("n_chars").alias("m")))).select("key", (F.col("n_chars") / F.col("m")).alias("base"))
+    top = F.broadcast(docs.agg(F.max("n_chars").alias("m")))
+    return docs.select(F.col("doc_id").alias("key"), "text", F.col("n_chars").alias("cost")).crossJoin(top).select("key", "text", (F.col("cost") / F.col("m")).alias("base"), "cost")
 
 
-def _structural(spark, sf_dir, hits: DataFrame) -> DataFrame:
-    """query_id, key, rank among a query's hits by base."""
-    return rank.ranked(hits.select("query_id", "key").join(_sizes(spark, sf_dir), "key").withColumn("base", T.rounded(F.col("base"), 9)), ["query_id"], score="base").select("query_id", "key", "rank")
+def _pairs(spark, sf_dir, docs: DataFrame, keep: list[str]) -> DataFrame:
+    """query_id, key, keep, score: every passage with every document; the score is 0 without a common term."""
+    found = bm25.bm25(passages(spark, sf_dir), docs.withColumn("tokens", T.identifiers("text")), doc_key="key", keep=keep, every=True)
+    return found.withColumn("score", T.rounded(F.col("score")))
 
 
-HITS = f"""{BM}, h AS (SELECT query_id, doc_id AS key, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM b QUALIFY rank < 100),
-z AS (SELECT doc_id AS key, n_chars / (SELECT max(n_chars) FROM documents) AS base FROM documents),
-st AS (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY floor(base * 1e9 + 0.5) / 1e9 DESC, key) - 1 AS rank FROM h JOIN z USING (key)),
-u AS (SELECT query_id, key, rank FROM h UNION ALL SELECT query_id, key, rank FROM st),
-rf AS (SELECT query_id, key, sum(1.0 / (60 + rank + 1)) AS score FROM u GROUP BY query_id, key)"""
+def _ranked(spark, sf_dir) -> DataFrame:
+    """query_id, key, base, structural, score, rank: every pair with its rank in either channel; the structural one is the same for every query."""
+    docs = _sized(spark, sf_dir)
+    st = rank.ranked_whole(docs.select("key", T.rounded(F.col("base"), 9).alias("by")), [], score="by").select("key", F.col("rank").alias("structural"))
+    return rank.ranked_whole(_pairs(spark, sf_dir, docs.join(st, "key"), ["base", "structural"]), ["query_id"])
+
+
+#: Every pair with its scores and its ranks (from 0) in both channels.
+HITS = f"""{BM},
+z AS (SELECT doc_id AS key, n_chars AS cost, n_chars / (SELECT max(n_chars) FROM documents) AS base FROM documents),
+zs AS (SELECT *, row_number() OVER (ORDER BY floor(base * 1e9 + 0.5) / 1e9 DESC NULLS LAST, key) - 1 AS structural FROM z),
+ap AS (SELECT q1.item_id AS query_id, zs.key, base, structural, cost, coalesce(b.score, 0) AS score FROM benchmark q1 CROSS JOIN zs LEFT JOIN b ON b.query_id = q1.item_id AND b.doc_id = zs.key),
+h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) - 1 AS rank FROM ap),
+rf AS (SELECT query_id, key, 1.0 / (61 + rank) + 1.0 / (61 + structural) AS score FROM h)"""
 
 
 @query(f"WITH {HITS} SELECT query_id, key, {_r('score', 9)} AS score FROM rf")
 def rrf_two_channel(spark, sf_dir):
-    hits = _hits(spark, sf_dir)
-    lists = hits.select("query_id", "key", "rank").union(_structural(spark, sf_dir, hits))
-    return rank.reciprocal_ranks(lists, ["query_id"]).withColumn("score", T.rounded(F.col("score"), 9))
+    fused = rank.fused_ranks(F.col("rank"), F.col("structural"))
+    return _ranked(spark, sf_dir).select("query_id", "key", T.rounded(fused, 9).alias("score"))
 
 
 @query(f"""WITH {HITS},
 o AS (SELECT query_id, key, rank AS o FROM h WHERE rank < 5 UNION ALL SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY {_r('score', 12)} DESC, key) + 5 FROM rf),
 g AS (SELECT query_id, key, min(o) AS o FROM o GROUP BY query_id, key)
-SELECT * FROM (SELECT query_id, key, CAST(row_number() OVER (PARTITION BY query_id ORDER BY o) AS INT) AS pos FROM g) WHERE pos <= 10""")
+SELECT * FROM (SELECT query_id, key, CAST(row_number() OVER (PARTITION BY query_id ORDER BY o) AS INT) AS pos FROM g) WHERE pos <= {K}""")
 def choose_roots(spark, sf_dir):
-    hits = _hits(spark, sf_dir)
-    return rank.chosen_roots(hits, _structural(spark, sf_dir, hits), ["query_id"], K)
+    return rank.chosen_roots_of(_ranked(spark, sf_dir), ["query_id"], K)
 
 
 @query(f"""WITH {HITS}, w AS (SELECT query_id, key, 1.0 / (61 + rank) AS f, max(score) OVER (PARTITION BY query_id) AS top FROM h)
 SELECT query_id, key, {_r('f / max(f) OVER (PARTITION BY query_id)', 9)} AS fused, top AS top_lexical, top >= 0.05 AS retrieve FROM w""")
 def hybrid_scores(spark, sf_dir):
-    found = rank.hybrid_scores(_hits(spark, sf_dir), ["query_id"]).join(passages(spark, sf_dir).select("query_id", "query"), "query_id")
-    return found.select("query_id", "key", T.rounded(F.col("fused"), 9).alias("fused"), "top_lexical", rank.should_retrieve(F.col("query"), F.col("top_lexical"), F.col("top_dense")).alias("retrieve"))
+    ranked = rank.ranked_whole(_pairs(spark, sf_dir, _sized(spark, sf_dir), []), ["query_id"])
+    found = rank.hybrid_scores_of(ranked, ["query_id"]).join(F.broadcast(passages(spark, sf_dir).select("query_id", "query")), "query_id")
+    return found.select("query_id", "key", T.rounded(F.col("fused"), 9).alias("fused"), "top_lexical", rank.should_retrieve(F.col("query"), F.col("top_lexical"), F.lit(None).cast("double")).alias("retrieve"))
 
 
 @query("SELECT item_id AS query_id, coalesce(text, '') <> '' AND item_id % 3 > 0 AS retrieve FROM benchmark")
@@ -118,56 +129,54 @@ def should_retrieve(spark, sf_dir):
     return one.select(F.col("item_id").alias("query_id"), rank.should_retrieve(F.col("text"), F.col("top"), F.lit(None).cast("double")).alias("retrieve"))
 
 
-_BLEND = f"{HITS}, bl AS (SELECT query_id, key, {_r('0.5 * base + 0.5 * score')} AS score FROM h JOIN z USING (key))"
+_BLEND = f"{HITS}, bl AS (SELECT query_id, key, cost, {_r('0.5 * base + 0.5 * score')} AS score FROM h)"
 
 
 @query(f"WITH {_BLEND} SELECT * FROM (SELECT query_id, key, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS INT) AS rank FROM bl) WHERE rank <= {K}")
 def blend_topk(spark, sf_dir):
-    both = _hits(spark, sf_dir).join(_sizes(spark, sf_dir), "key").withColumn("score", rank.blended(F.col("base"), F.col("score"), 0.5))
+    both = _pairs(spark, sf_dir, _sized(spark, sf_dir), ["base"]).withColumn("score", rank.blended(F.col("base"), F.col("score"), 0.5))
     return bm25.top_k(both.select("query_id", "key", "score"), K, doc_key="key")
 
 
-def _candidates(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
-    hits = _hits(spark, sf_dir).filter(F.col("rank") < K)
-    return hits.join(docs, "key").join(passages(spark, sf_dir).select("query_id", "query"), "query_id")
+def _texts(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
 
 
-_PAIRS = f"""{HITS}, pr AS (
-  SELECT h.query_id, h.key, h.rank, score, lower(d.text) AS low, (SELECT list_distinct({IDENT.replace('text', 'bt')}) FROM (SELECT b2.text AS bt)) AS w, {IDENT.replace('text', 'b2.text')} AS wn
-  FROM h JOIN documents d ON d.doc_id = h.key JOIN benchmark b2 ON b2.item_id = h.query_id WHERE h.rank < {K})"""
-_PAIRS = _PAIRS.replace(f"(SELECT list_distinct({IDENT.replace('text', 'bt')}) FROM (SELECT b2.text AS bt)) AS w", f"list_distinct({IDENT.replace('text', 'b2.text')}) AS w")
+_COVERED = f"""pw AS (SELECT item_id AS query_id, list_distinct({IDENT}) AS w, {IDENT} AS wn FROM benchmark), lo AS (SELECT doc_id AS key, lower(coalesce(text, '')) AS low FROM documents),
+pr AS (SELECT query_id, key, w, wn, low FROM pw CROSS JOIN lo)"""
 _COVER = "len(list_filter({0}, lambda t: contains(low, t))) / len({0})"
 
 
-@query(f"WITH {_PAIRS} SELECT query_id, key, {_r(_COVER.format('w'), 9)} AS coverage FROM pr WHERE len(w) > 0")
+@query(f"WITH {_COVERED} SELECT query_id, key, {_r(_COVER.format('w'), 9)} AS coverage FROM pr WHERE len(w) > 0")
 def lexical_score(spark, sf_dir):
-    return _candidates(spark, sf_dir).filter(F.size(T.identifiers("query")) > 0).select("query_id", "key", T.rounded(T.coverage("text", T.identifiers("query")), 9).alias("coverage"))
+    return cover.coverage(_texts(spark, sf_dir), passages(spark, sf_dir)).withColumn("coverage", T.rounded(F.col("coverage"), 9))
 
 
-@query(f"WITH {_PAIRS} SELECT query_id, key, {_r(_COVER.format('wn'), 9)} AS coverage FROM pr WHERE len(wn) > 0")
+@query(f"WITH {_COVERED} SELECT query_id, key, {_r(_COVER.format('wn'), 9)} AS coverage FROM pr WHERE len(wn) > 0")
 def lexical_coverage(spark, sf_dir):
-    return _candidates(spark, sf_dir).filter(F.size(T.identifiers("query")) > 0).select("query_id", "key", T.rounded(T.coverage("text", T.identifiers("query"), distinct=False), 9).alias("coverage"))
+    return cover.coverage(_texts(spark, sf_dir), passages(spark, sf_dir), distinct=False).withColumn("coverage", T.rounded(F.col("coverage"), 9))
 
 
-@query(f"WITH {_PAIRS} SELECT query_id, key FROM pr WHERE len(w) = 0 OR {_COVER.format('w')} >= 0.6")
+@query(f"WITH {_COVERED} SELECT query_id, key FROM pr WHERE len(w) = 0 OR {_COVER.format('w')} >= 0.6")
 def lexical_gate(spark, sf_dir):
-    return _candidates(spark, sf_dir).filter(T.passes("text", T.identifiers("query"), 0.6)).select("query_id", "key")
+    return cover.coverage(_texts(spark, sf_dir), passages(spark, sf_dir), least=0.6).select("query_id", "key")
 
 
-@query(f"""WITH {_PAIRS},
-ca AS (SELECT pr.query_id, pr.key, {_r('0.5 * base + 0.5 / (61 + rank)', 9)} AS final, rank AS lex_rank, {_COVER.format('w')} >= 0.6 AS passes FROM pr JOIN z USING (key)),
+@query(f"""WITH {HITS}, {_COVERED},
+ca AS (SELECT h.query_id, h.key, {_r('0.5 * base + 0.5 / (61 + rank)', 9)} AS final, rank AS lex_rank, len(w) = 0 OR {_COVER.format('w')} >= 0.6 AS passes FROM h JOIN pr USING (query_id, key)),
 lp AS (SELECT *, CASE WHEN passes THEN row_number() OVER (PARTITION BY query_id ORDER BY passes DESC, lex_rank, key) END AS pos0, bool_or(passes) OVER (PARTITION BY query_id) AS any_pass FROM ca),
 fi AS (SELECT *, coalesce(pos0 <= 4, FALSE) AS first FROM lp WHERE passes OR NOT any_pass)
 SELECT * FROM (SELECT query_id, key, final, CAST(row_number() OVER (PARTITION BY query_id ORDER BY first DESC, CASE WHEN first THEN pos0 END, final DESC, key) AS INT) AS pos FROM fi) WHERE pos <= 6""")
 def seeds_gated(spark, sf_dir):
-    c = _candidates(spark, sf_dir).join(_sizes(spark, sf_dir), "key")
-    c = c.select("query_id", "key", T.rounded(rank.blended(F.col("base"), F.lit(1.0) / (F.col("rank") + 61), 0.5), 9).alias("final"), F.col("rank").alias("lex_rank"), T.passes("text", T.identifiers("query"), 0.6).alias("passes"))
+    final = T.rounded(rank.blended(F.col("base"), F.lit(1.0) / (F.col("rank") + 61), 0.5), 9)
+    ranked = rank.ranked_whole(_pairs(spark, sf_dir, _sized(spark, sf_dir), ["base"]), ["query_id"])
+    c = ranked.select("query_id", "key", final.alias("final"), F.col("rank").alias("lex_rank"))
+    c = cut(c.join(lexical_gate(spark, sf_dir).withColumn("gate", F.lit(True)), ["query_id", "key"], "left").withColumn("passes", F.coalesce("gate", F.lit(False))).drop("gate"))
     return rank.gated_seeds(c, ["query_id"], 6, 0.6)
 
 
 @query(f"""WITH RECURSIVE {_BLEND},
-it AS (SELECT query_id, key, score, greatest(1, n_chars) AS cost FROM bl JOIN documents d ON d.doc_id = bl.key),
+it AS (SELECT query_id, key, score, greatest(1, cost) AS cost FROM bl),
 od AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score / cost DESC, score DESC, cost, key) AS i FROM it),
 go AS (
   SELECT query_id, 0::BIGINT AS i, 20000::BIGINT AS room, NULL::BIGINT AS key, FALSE AS took, 0::BIGINT AS pos FROM (SELECT DISTINCT query_id FROM od)
@@ -176,141 +185,42 @@ go AS (
 )
 SELECT query_id, key, CAST(pos AS INT) AS pos FROM go WHERE took""")
 def knapsack_budget(spark, sf_dir):
-    both = _hits(spark, sf_dir).join(_sizes(spark, sf_dir), "key").withColumn("benefit", T.rounded(rank.blended(F.col("base"), F.col("score"), 0.5)))
-    cost = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("n_chars").alias("cost"))
-    return select.knapsack(both.join(cost, "key").select("query_id", "key", "benefit", "cost"), ["query_id"], 20000)
+    both = _pairs(spark, sf_dir, _sized(spark, sf_dir), ["base", "cost"]).withColumn("benefit", T.rounded(rank.blended(F.col("base"), F.col("score"), 0.5)))
+    return select.knapsack(both.select("query_id", "key", "benefit", "cost"), ["query_id"], 20000)
 
 
-@query(f"""WITH {HITS}, w AS (SELECT query_id, key, rank, CAST(sum(length(d.text)) OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS used FROM h JOIN documents d ON d.doc_id = h.key)
+@query(f"""WITH {BM}, h AS (SELECT query_id, doc_id AS key, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM b QUALIFY rank < {PACKED}),
+w AS (SELECT query_id, key, rank, CAST(sum(length(d.text)) OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS used FROM h JOIN documents d ON d.doc_id = h.key)
 SELECT query_id, key, used FROM w WHERE used <= 7200""")
 def prefix_pack(spark, sf_dir):
+    # what is packed is a top-k list
     size = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.length("text").alias("size"))
-    return select.prefix(_hits(spark, sf_dir).join(size, "key"), ["query_id"], 7200, ["rank"]).select("query_id", "key", "used")
-
-
-def _scored_all(spark, sf_dir) -> DataFrame:
-    """query_id, key, score, base, structural (rank, the same for every query), cost: every passage with every document; the score is 0 without a common term."""
-    found = bm25.bm25(passages(spark, sf_dir), documents(spark, sf_dir)).select(F.col("doc_id").alias("key"), F.struct("query_id", T.rounded(F.col("score")).alias("score")).alias("hit"))
-    found = found.groupBy("key").agg(F.collect_list("hit").alias("hits"))
-    sizes = _sizes(spark, sf_dir).withColumn("by", T.rounded(F.col("base"), 9))
-    cost = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("n_chars").alias("cost"))
-    docs = rank.table_ranked(sizes, "by").drop("by").withColumnRenamed("rank", "structural").join(cost, "key").join(found, "key", "left")
-    asked = passages(spark, sf_dir).agg(F.collect_list("query_id").alias("asked"))
-    hits = F.coalesce("hits", F.array().cast(found.schema["hits"].dataType))
-    rest = F.transform(F.array_except("asked", F.transform(hits, lambda h: h["query_id"])), lambda q: F.struct(q.alias("query_id"), F.lit(0.0).alias("score")))
-    return docs.crossJoin(F.broadcast(asked)).select("key", "base", "structural", "cost", F.explode(F.concat(hits, rest)).alias("hit")).select("hit.*", "key", "base", "structural", "cost")
-
-
-def _ranked_all(spark, sf_dir) -> DataFrame:
-    """_scored_all() with rank from 0 in the lexical channel."""
-    return rank.ranked(_scored_all(spark, sf_dir), ["query_id"])
-
-
-@query()
-def rrf_two_channel_all(spark, sf_dir):
-    """rrf_two_channel over full rankings of both channels."""
-    fused = rank.fused_ranks(F.col("rank"), F.col("structural"))
-    return _ranked_all(spark, sf_dir).select("query_id", "key", T.rounded(fused, 9).alias("score"))
-
-
-@query()
-def choose_roots_all(spark, sf_dir):
-    """choose_roots over full rankings of both channels."""
-    return rank.chosen_roots_of(_ranked_all(spark, sf_dir), ["query_id"], K)
-
-
-@query()
-def hybrid_scores_all(spark, sf_dir):
-    """hybrid_scores over the full lexical ranking."""
-    one = _ranked_all(spark, sf_dir).withColumn("fused", rank.fused_ranks(F.col("rank"))).withColumn("top_lexical", F.max("score").over(Window.partitionBy("query_id")))
-    one = rank.over_max(one, ["query_id"], "fused").join(F.broadcast(passages(spark, sf_dir).select("query_id", "query")), "query_id")
-    return one.select("query_id", "key", T.rounded(F.col("fused"), 9).alias("fused"), "top_lexical", rank.should_retrieve(F.col("query"), F.col("top_lexical"), F.lit(None).cast("double")).alias("retrieve"))
-
-
-@query()
-def blend_topk_all(spark, sf_dir):
-    """blend_topk over all documents."""
-    both = _scored_all(spark, sf_dir).withColumn("score", rank.blended(F.col("base"), F.col("score"), 0.5))
-    return bm25.top_k(both.select("query_id", "key", "score"), K, doc_key="key")
-
-
-@query()
-def knapsack_budget_all(spark, sf_dir):
-    """knapsack_budget over all documents."""
-    both = _scored_all(spark, sf_dir).withColumn("benefit", T.rounded(rank.blended(F.col("base"), F.col("score"), 0.5)))
-    # what costs more than the whole budget is passed over anyway
-    return select.knapsack(both.filter(F.coalesce("cost", F.lit(0)) <= 20000).select("query_id", "key", "benefit", "cost"), ["query_id"], 20000)
-
-
-def _texts(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
-
-
-@query()
-def lexical_score_all(spark, sf_dir):
-    """lexical_score of all pairs, those that cover nothing too."""
-    return cover.coverage(_texts(spark, sf_dir), passages(spark, sf_dir)).withColumn("coverage", T.rounded(F.col("coverage"), 9))
-
-
-@query()
-def lexical_coverage_all(spark, sf_dir):
-    """lexical_coverage of all pairs, those that cover nothing too."""
-    return cover.coverage(_texts(spark, sf_dir), passages(spark, sf_dir), distinct=False).withColumn("coverage", T.rounded(F.col("coverage"), 9))
-
-
-@query()
-def lexical_gate_all(spark, sf_dir):
-    """lexical_gate over all pairs."""
-    return cover.coverage(_texts(spark, sf_dir), passages(spark, sf_dir), least=0.6).select("query_id", "key")
-
-
-@query()
-def seeds_gated_all(spark, sf_dir):
-    """seeds_gated from all documents."""
-    final = T.rounded(rank.blended(F.col("base"), F.lit(1.0) / (F.col("rank") + 61), 0.5), 9)
-    c = _ranked_all(spark, sf_dir).select("query_id", "key", final.alias("final"), F.col("rank").alias("lex_rank"))
-    c = c.join(lexical_gate_all(spark, sf_dir).withColumn("gate", F.lit(True)), ["query_id", "key"], "left")
-    return rank.gated_seeds(c.withColumn("passes", F.coalesce("gate", F.lit(False))), ["query_id"], 6, 0.6)
+    return select.prefix(_hits(spark, sf_dir, PACKED).join(size, "key"), ["query_id"], 7200, ["rank"]).select("query_id", "key", "used")
 
 
 def vectors(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
 
 
-def _similar(spark, sf_dir) -> DataFrame:
-    """query_id (the first vector of each label), vec_id, similarity to all others. The queries are a row a label."""
-    every = vectors(spark, sf_dir)
-    heads = every.groupBy("label").agg(F.min_by(F.struct("vec_id", "v"), "vec_id").alias("h")).select("label", F.col("h.vec_id").alias("query_id"), F.col("h.v").alias("q"))
-    return heads.select("query_id", "q").crossJoin(every).filter("vec_id <> query_id").select("query_id", "vec_id", T.cosine(F.col("q"), F.col("v")).alias("similarity"))
+def _asked(spark, sf_dir) -> DataFrame:
+    """The query vectors: those whose id is divisible by 50."""
+    return vectors(spark, sf_dir).filter("vec_id % 50 = 0")
 
 
 _VEC = """
 e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-hq AS (SELECT vec_id AS query_id, v AS q FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM e) WHERE i = 1),
-si AS (SELECT query_id, vec_id, list_dot_product(q, v) / ((sqrt(list_dot_product(q, q)) + 1e-12) * (sqrt(list_dot_product(v, v)) + 1e-12)) AS sim FROM hq, e WHERE vec_id <> query_id)
+si AS (SELECT a.vec_id AS query_id, e.vec_id, list_dot_product(a.v, e.v) / ((sqrt(list_dot_product(a.v, a.v)) + 1e-12) * (sqrt(list_dot_product(e.v, e.v)) + 1e-12)) AS sim FROM e a, e WHERE a.vec_id % 50 = 0 AND a.vec_id <> e.vec_id)
 """
 
 
 @query(f"WITH {_VEC}, b AS (SELECT query_id, vec_id AS doc_id, {_r('sim')} AS score FROM si) {TOP.format(K)}")
 def cosine_topk(spark, sf_dir):
-    return bm25.top_k(_similar(spark, sf_dir).select("query_id", F.col("vec_id").alias("doc_id"), F.col("similarity").alias("score")), K)
+    return similar.cosine_top(vectors(spark, sf_dir), K, _asked(spark, sf_dir))
 
 
 @query(f"WITH {_VEC}, b AS (SELECT query_id, vec_id, (sim - min(sim) OVER (PARTITION BY query_id)) / (max(sim) OVER (PARTITION BY query_id) - min(sim) OVER (PARTITION BY query_id)) AS s FROM si) SELECT query_id, vec_id, {_r('s')} AS similarity FROM b")
 def dense_minmax(spark, sf_dir):
-    return rank.min_max(_similar(spark, sf_dir), ["query_id"], "similarity").withColumn("similarity", T.rounded(F.col("similarity")))
-
-
-@query()
-def cosine_topk_all(spark, sf_dir):
-    """cosine_topk with every vector as a query."""
-    return similar.cosine_top(table(spark, sf_dir, "embeddings"), K, v_col="embedding")
-
-
-@query()
-def dense_minmax_all(spark, sf_dir):
-    """dense_minmax with every vector as a query."""
-    return similar.cosine_min_max(table(spark, sf_dir, "embeddings"), v_col="embedding").withColumn("similarity", T.rounded(F.col("similarity")))
+    return similar.cosine_min_max(vectors(spark, sf_dir), _asked(spark, sf_dir)).withColumn("similarity", T.rounded(F.col("similarity")))
 
 
 @query(f"WITH {_VEC}, n AS (SELECT vec_id, list_transform(v, lambda x: x / (sqrt(list_dot_product(v, v)) + 1e-12)) AS u FROM e) SELECT vec_id, {_r('list_sum(u)')} AS total, {_r('sqrt(list_dot_product(u, u))')} AS length FROM n")
@@ -320,12 +230,14 @@ def l2_norm(spark, sf_dir):
 
 
 def _lexical_with_vectors(spark, sf_dir) -> DataFrame:
-    """Hits of every query whose document has a vector of the same number, with its similarity to the query's."""
+    """The prefilter's hits of every query with the similarity of the vectors that have the passage's and the document's number; 0 where one has none."""
     v = vectors(spark, sf_dir)
-    return _hits(spark, sf_dir).join(v.select(F.col("vec_id").alias("key"), F.col("v").alias("dv")), "key").join(v.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")), "query_id").withColumn("similarity", T.cosine(F.col("qv"), F.col("dv"))).drop("qv", "dv")
+    both = _hits(spark, sf_dir, PREFILTER).join(v.select(F.col("vec_id").alias("key"), F.col("v").alias("dv")), "key", "left").join(v.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")), "query_id", "left")
+    return both.withColumn("similarity", F.coalesce(T.cosine(F.col("qv"), F.col("dv")), F.lit(0.0))).drop("qv", "dv")
 
 
-_LV = f"{HITS}, {_VEC}, lv AS (SELECT h.query_id, h.key, h.score, list_dot_product(a.v, c.v) / ((sqrt(list_dot_product(a.v, a.v)) + 1e-12) * (sqrt(list_dot_product(c.v, c.v)) + 1e-12)) AS sim FROM h JOIN e a ON a.vec_id = h.key JOIN e c ON c.vec_id = h.query_id)"
+_LV = f"""{BM}, h AS (SELECT query_id, doc_id AS key, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM b QUALIFY rank < {PREFILTER}), {_VEC},
+lv AS (SELECT h.query_id, h.key, h.score, coalesce(list_dot_product(a.v, c.v) / ((sqrt(list_dot_product(a.v, a.v)) + 1e-12) * (sqrt(list_dot_product(c.v, c.v)) + 1e-12)), 0) AS sim FROM h LEFT JOIN e a ON a.vec_id = h.key LEFT JOIN e c ON c.vec_id = h.query_id)"""
 
 
 @query(f"WITH {_LV}, rr AS (SELECT query_id, key AS doc_id, {_r('0.5 * score + 0.5 * sim')} AS score FROM lv) {TOP.format(K).replace('FROM b)', 'FROM rr)')}")

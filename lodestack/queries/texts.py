@@ -177,12 +177,35 @@ def _pieces(df):
     return df.select(F.col("path").cast("bigint").alias("doc_id"), F.posexplode("pieces").alias("k", "p")).select("doc_id", "k", "p.start", "p.end")
 
 
-@query()
+#: Pieces of each document, by a fold over the places where it may be cut; tokens are a quarter of the bytes.
+_SPLIT = f"""e0 AS (SELECT doc_id, {_ends("chr(10) || chr(10)")} AS blank, {_ends("chr(10)")} AS line, strlen(coalesce(text, '')) AS n FROM documents),
+e1 AS (SELECT doc_id, n, CASE WHEN len(blank) > 0 THEN blank ELSE line END AS b FROM e0),
+d AS (SELECT doc_id, n, CASE WHEN len(b) > 0 AND b[-1] = n THEN b ELSE list_append(b, n) END AS bounds FROM e1),
+go AS (
+  SELECT doc_id, 0::BIGINT AS i, 0::BIGINT AS beg, 0::BIGINT AS tok, 0::BIGINT AS safe, NULL::BIGINT AS s, NULL::BIGINT AS e FROM d WHERE (n + 3) // 4 > 1200
+  UNION ALL
+  SELECT doc_id, i + 1, CASE WHEN c THEN safe ELSE beg END, CASE WHEN c THEN (f - safe + 3) // 4 ELSE tok + t END, f, CASE WHEN c THEN beg END, CASE WHEN c THEN safe END
+  FROM (SELECT go.*, d.bounds[i + 1] AS f, (d.bounds[i + 1] - beg + 3) // 4 AS t, i > 0 AND tok + (d.bounds[i + 1] - beg + 3) // 4 > 1200 AS c FROM go JOIN d USING (doc_id) WHERE i < len(d.bounds))
+),
+pc AS (
+  SELECT doc_id, s, e FROM go WHERE s IS NOT NULL
+  UNION ALL SELECT doc_id, beg, n FROM go JOIN d USING (doc_id) WHERE i = len(bounds)
+  UNION ALL SELECT doc_id, 0, n FROM d WHERE (n + 3) // 4 <= 1200
+),
+pk AS (SELECT doc_id, s, e, (e - s + 3) // 4 AS t, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS k FROM pc)"""
+
+
+@query(f"WITH RECURSIVE {_SPLIT} SELECT doc_id, CAST(k AS INT) AS k, CAST(s AS INT) AS start, CAST(e AS INT) AS \"end\" FROM pk")
 def cast_split(spark, sf_dir):
     return _pieces(chunk.chunked(_document_spans(spark, sf_dir), merge=False))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SPLIT}, mg AS (
+  SELECT doc_id, k, s, e, t, 0::BIGINT AS g FROM pk WHERE k = 0
+  UNION ALL
+  SELECT p.doc_id, p.k, CASE WHEN mg.t + p.t <= 1800 THEN mg.s ELSE p.s END, p.e, CASE WHEN mg.t + p.t <= 1800 THEN mg.t + p.t ELSE p.t END, CASE WHEN mg.t + p.t <= 1800 THEN g ELSE g + 1 END FROM mg JOIN pk p ON p.doc_id = mg.doc_id AND p.k = mg.k + 1
+)
+SELECT doc_id, CAST(g AS INT) AS k, CAST(min(s) AS INT) AS start, CAST(max(e) AS INT) AS "end" FROM mg GROUP BY doc_id, g""")
 def cast_merge(spark, sf_dir):
     return _pieces(chunk.chunked(_document_spans(spark, sf_dir)))
 

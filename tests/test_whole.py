@@ -1,4 +1,4 @@
-"""Queries over all rows against brute force."""
+"""Rankings and similarities against brute force, and ranks and budgets at any size of a group."""
 
 import math
 import re
@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lodestack.operators import rank, similar
+from lodestack.operators import rank, select, similar
 from lodestack.queries import queries
 
 DIR = "/root/testdata/sf0.001"
@@ -39,14 +39,14 @@ def test_every_vector_is_a_query(spark):
         assert [scaled[i, j] for j in range(60) if j != i] == pytest.approx((o - o.min()) / width, abs=1e-9)
 
 
-def test_registered_similarities_hold_all_vectors(spark):
-    n = spark.read.parquet(f"{DIR}/embeddings.parquet").count()
-    whole = queries()["cosine_topk_all"](spark, DIR)
-    assert whole.count() == n * 10 and whole.select("query_id").distinct().count() == n
-    # the queries that cosine_topk asks have the same neighbours here
-    few = queries()["cosine_topk"](spark, DIR).select("query_id", "doc_id", "score", "rank")
-    assert few.join(whole, ["query_id", "doc_id", "rank"]).count() == few.count()
-    assert queries()["dense_minmax_all"](spark, DIR).count() == n * (n - 1)
+def test_stated_queries_meet_all_vectors(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in range(70)], "vec_id bigint, v array<double>")
+    some = df.filter("vec_id % 7 = 0")
+    every = {tuple(r) for r in similar.cosine_top(df, 4, block=16).collect()}
+    assert {tuple(r) for r in similar.cosine_top(df, 4, some, block=16).collect()} == {r for r in every if r[0] % 7 == 0}
+    scaled = {(r[0], r[1]): r[2] for r in similar.cosine_min_max(df, block=16).collect()}
+    assert {(r[0], r[1]): r[2] for r in similar.cosine_min_max(df, some, block=16).collect()} == pytest.approx({k: v for k, v in scaled.items() if k[0] % 7 == 0})
 
 
 @pytest.fixture(scope="module")
@@ -92,7 +92,7 @@ def order(scores):
 
 def test_fusion_takes_full_rankings(spark, tables):
     at, docs, asked = tables
-    run = {name: queries()[f"{name}_all"](spark, at).collect() for name in ("rrf_two_channel", "choose_roots", "hybrid_scores", "blend_topk", "knapsack_budget")}
+    run = {name: queries()[name](spark, at).collect() for name in ("rrf_two_channel", "choose_roots", "hybrid_scores", "blend_topk", "knapsack_budget")}
     most = max(len(t) for _, t in docs)
     base = {d: len(t) / most for d, t in docs}
     st = {d: r for r, d in enumerate(order({d: half_up(x, 9) for d, x in base.items()}))}
@@ -120,13 +120,56 @@ def test_fusion_takes_full_rankings(spark, tables):
 
 def test_rank_of_a_whole_table(spark):
     rows = spark.createDataFrame([(k, s) for k, s in enumerate([3.0, 1.0, None, 3.0, 2.0, None])], "key bigint, s double")
-    assert {r["key"]: r["rank"] for r in rank.table_ranked(rows, "s").collect()} == {0: 0, 3: 1, 4: 2, 1: 3, 2: 4, 5: 5}
+    assert {r["key"]: r["rank"] for r in rank.ranked_whole(rows, [], score="s").collect()} == {0: 0, 3: 1, 4: 2, 1: 3, 2: 4, 5: 5}
+    assert rank.ranked_whole(rows.limit(0), [], score="s").count() == 0
+
+
+def test_ranks_of_groups_that_cross_tasks(spark):
+    rng = np.random.default_rng(7)
+    rows = [(g, k, float(rng.integers(0, 5))) for g in (None, 1, 2) for k in range(1500 if g == 1 else 40)]
+    df = spark.createDataFrame(rows, "g int, key bigint, score double").repartition(5)
+    want = {}
+    for g in (None, 1, 2):
+        want |= {(g, k): i for i, (_, k, _) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1])))}
+    assert {(r["g"], r["key"]): r["rank"] for r in rank.ranked_whole(df, ["g"]).collect()} == want
+
+
+def test_knapsack_leaves_out_only_what_never_fits(spark):
+    rng = np.random.default_rng(9)
+    items = [(q, k, float(rng.integers(1, 40)), int(rng.integers(0, 12))) for q in (1, 2) for k in range(400)]
+    df = spark.createDataFrame(items, "q int, key bigint, benefit double, cost int")
+    got = {}
+    for r in select.knapsack(df, ["q"], 60).orderBy("pos").collect():
+        got.setdefault(r["q"], []).append(r["key"])
+    for q in (1, 2):
+        room, want = 60, []
+        for _, k, b, c in sorted((x for x in items if x[0] == q), key=lambda x: (-x[2] / max(1, x[3]), -x[2], max(1, x[3]), x[1])):
+            if max(1, c) <= room:
+                room -= max(1, c)
+                want.append(k)
+        assert got[q] == want
+
+
+@pytest.mark.parametrize("kind", ["norm", "okapi"])
+def test_a_pruned_report_is_the_whole_one(spark, monkeypatch, kind):
+    from lodestack.operators import bm25
+
+    monkeypatch.setattr(bm25, "QUERIES", 2)
+    monkeypatch.setattr(bm25, "AT_ONCE", 5)
+    rng = np.random.default_rng(2)
+    words = lambda n: [f"w{x % 30}" for x in rng.zipf(1.4, n)]
+    docs = spark.createDataFrame([(d, words(int(rng.integers(0, 12)))) for d in range(700)], "doc_id bigint, tokens array<string>").repartition(3)
+    asked = spark.createDataFrame([(q, words(3) if q else []) for q in range(8)], "query_id int, tokens array<string>")
+    score = bm25.bm25 if kind == "norm" else bm25.okapi
+    whole = bm25.top_k(score(asked, docs), 5).collect()
+    assert sorted(map(tuple, bm25.top_k(score(asked, docs, top=5), 5).collect())) == sorted(map(tuple, whole)) and len(whole) == 35
+    assert score(asked, docs, every=True).count() == 8 * 700
 
 
 def test_gate_sees_all_pairs(spark, tables):
     at, docs, asked = tables
     most = max(len(t) for _, t in docs)
-    run = {name: queries()[f"{name}_all"](spark, at).collect() for name in ("lexical_score", "lexical_coverage", "lexical_gate", "seeds_gated")}
+    run = {name: queries()[name](spark, at).collect() for name in ("lexical_score", "lexical_coverage", "lexical_gate", "seeds_gated")}
     share = lambda wanted, text: sum(t in text.lower() for t in wanted) / len(wanted)
     assert {(r["query_id"], r["key"]): r["coverage"] for r in run["lexical_score"]} == {(q, d): half_up(share(set(words(a)), t), 9) for q, a in asked for d, t in docs}
     assert {(r["query_id"], r["key"]): r["coverage"] for r in run["lexical_coverage"]} == {(q, d): half_up(share(words(a), t), 9) for q, a in asked for d, t in docs}
