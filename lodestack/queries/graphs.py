@@ -59,7 +59,7 @@ def call_edges(spark, sf_dir):
     return edges_of(parsed(spark, sf_dir))[1]
 
 
-def _ranks(most: int) -> str:
+def ranks(most: int) -> str:
     """pr: the ranks of every function after each of the first iterations."""
     return f"""n AS (SELECT count(*) AS n FROM fn WHERE stays), ot AS (SELECT src, sum(weight) AS total FROM ed GROUP BY src),
 pr AS (
@@ -72,13 +72,13 @@ pr AS (
 )"""
 
 
-@query(f"WITH RECURSIVE {B}, {_ranks(ITERATIONS)} SELECT qname, floor(rank * 1e9 + 0.5) / 1e9 AS rank FROM pr WHERE it = {ITERATIONS}")
+@query(f"WITH RECURSIVE {B}, {ranks(ITERATIONS)} SELECT qname, floor(rank * 1e9 + 0.5) / 1e9 AS rank FROM pr WHERE it = {ITERATIONS}")
 def pagerank_fixed(spark, sf_dir):
     functions, edges = edges_of(parsed(spark, sf_dir))
     return graph.pagerank(functions.select("qname"), edges, fixed=ITERATIONS).withColumn("rank", T.rounded(F.col("rank"), 9))
 
 
-@query(f"""WITH RECURSIVE {B}, {_ranks(100)},
+@query(f"""WITH RECURSIVE {B}, {ranks(100)},
 er AS (SELECT b.it, sum(abs(b.rank - a.rank)) AS moved FROM pr a JOIN pr b ON b.it = a.it + 1 AND b.qname = a.qname GROUP BY b.it),
 en AS (SELECT coalesce(min(it) FILTER (WHERE moved < 1e-6), 100) AS it FROM er)
 SELECT qname, floor(rank * 1e9 + 0.5) / 1e9 AS rank FROM pr JOIN en USING (it)""")

@@ -74,16 +74,20 @@ def split_terms(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", T.terms("text").alias("terms"))
 
 
-@query(f"""
-WITH t AS (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark), s(k, v) AS (VALUES {SYNONYM_ROWS}),
-e AS (
-  SELECT item_id, t FROM t
-  UNION SELECT item_id, v FROM t JOIN s ON t.t = s.k
-  UNION SELECT item_id, substr(t, 1, length(t) - 1) FROM t WHERE t LIKE '%s'
-  UNION SELECT item_id, substr(t, 1, length(t) - 3) FROM t WHERE t LIKE '%ing'
-  UNION SELECT item_id, substr(t, 1, length(t) - 2) FROM t WHERE t LIKE '%ed'
-)
-SELECT b.item_id, coalesce(list_sort(list(e.t) FILTER (WHERE e.t IS NOT NULL)), []) AS terms FROM benchmark b LEFT JOIN e USING (item_id) GROUP BY b.item_id
+def expanded_sql(key: str, of: str) -> str:
+    """tt, sy, ex: the terms of `of` (key, text), the synonyms, and (key, t) of the terms that expansion gives."""
+    return f"""tt AS (SELECT {key}, unnest({_TERMS}) AS t FROM {of}), sy(k, v) AS (VALUES {SYNONYM_ROWS}),
+ex AS (
+  SELECT {key}, t FROM tt
+  UNION SELECT {key}, v FROM tt JOIN sy ON tt.t = sy.k
+  UNION SELECT {key}, substr(t, 1, length(t) - 1) FROM tt WHERE t LIKE '%s'
+  UNION SELECT {key}, substr(t, 1, length(t) - 3) FROM tt WHERE t LIKE '%ing'
+  UNION SELECT {key}, substr(t, 1, length(t) - 2) FROM tt WHERE t LIKE '%ed'
+)"""
+
+
+@query(f"""WITH {expanded_sql("item_id", "benchmark")}
+SELECT b.item_id, coalesce(list_sort(list(ex.t) FILTER (WHERE ex.t IS NOT NULL)), []) AS terms FROM benchmark b LEFT JOIN ex USING (item_id) GROUP BY b.item_id
 """)
 def expand_query(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", T.expanded("text").alias("terms"))
@@ -100,10 +104,10 @@ def stem_keywords(spark, sf_dir):
 
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in features.STOP_WORDS)
-_INFORMATIVE = f"length(token) >= 2 AND lower(token) NOT IN ({_STOP}) AND NOT (starts_with(token, '__') AND ends_with(token, '__')) AND replace(token, '_', '') <> ''"
+INFORMATIVE = f"length(token) >= 2 AND lower(token) NOT IN ({_STOP}) AND NOT (starts_with(token, '__') AND ends_with(token, '__')) AND replace(token, '_', '') <> ''"
 
 
-@query(f"WITH t AS (SELECT unnest({IDENT}) AS token FROM documents) SELECT token, count(*) AS n FROM t WHERE {_INFORMATIVE} GROUP BY token")
+@query(f"WITH t AS (SELECT unnest({IDENT}) AS token FROM documents) SELECT token, count(*) AS n FROM t WHERE {INFORMATIVE} GROUP BY token")
 def informative_filter(spark, sf_dir):
     one = table(spark, sf_dir, "documents").select(F.explode(T.identifiers("text")).alias("token"))
     return one.groupBy("token").agg(F.count("*").alias("n")).filter(features.informative(F.col("token")))
