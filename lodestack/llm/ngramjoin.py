@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, filter_of_ids, mixed, word_gram_hashes, written
+from .common import among, filter_of_ids, forget, mixed, word_gram_hashes, written
 
 GRAM, THRESHOLD = 3, 0.5
 #: Grams that a band's least set is thinned to before it gives segments, and before it gives bits; the most segments; bits.
@@ -312,7 +312,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("m").alias("u"), "v").distinct()
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").filter("u > m").select(F.col("m").alias("u"), F.col("u").alias("v"))
-        now = written(small.union(least.select(F.col("m").alias("u"), "v")).distinct(), "edges")
+        before, now = now, written(small.union(least.select(F.col("m").alias("u"), "v")).distinct(), "edges")
+        forget(before)
 
 
 def alike(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -400,13 +401,17 @@ def _verified(docs: DataFrame, pairs: DataFrame, weights: DataFrame, n: int, thr
 def _classed(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, rep) of every document with words; (id, w) of the representatives and how many they stand for; candidates a, b."""
     signed = written(signatures(docs, id_col, text_col, n, threshold), "signatures")
-    one = signed.groupBy("doc_id").agg(F.min("h").alias("h"))
-    reps = written(one.groupBy("h").agg(F.min("doc_id").alias("id"), F.count("*").alias("w")), "classes")
-    members = written(one.join(reps, "h").select("doc_id", F.col("id").alias("rep")), "members")
-    # joined by id alone, rows that share an id are already together
-    own = signed.join(reps.select("id", F.col("h").alias("__h")), F.col("doc_id") == F.col("id")).filter("h = __h")
-    chosen = written(own.drop("doc_id", "h", "__h").dropDuplicates(["id"]), "representatives")
-    return members, reps.select("id", "w"), written(candidates(chosen, threshold), "candidates")
+    one = signed.groupBy("doc_id").agg(F.min("h").alias("h"), F.count("*").alias("rows"))
+    reps = one.groupBy("h").agg(F.min("doc_id").alias("id"), F.count("*").alias("w"))
+    members = written(one.join(reps, "h").select("doc_id", F.col("id").alias("rep"), "h", "w", "rows"), "members")
+    # only rows that may not be their class's are sent to be compared with it
+    odd = members.filter("doc_id <> rep OR rows > 1").select(F.col("doc_id").alias("id"))
+    known = filter_of_ids(odd, odd.count())
+    sure = among(signed, lambda c: ~known(c), "doc_id").drop("h")
+    other = among(signed, known, "doc_id").join(members.filter("doc_id = rep").select("doc_id", F.col("h").alias("__h")), "doc_id").filter("h = __h").drop("h", "__h").dropDuplicates(["doc_id"])
+    chosen = written(sure.union(other).withColumnRenamed("doc_id", "id"), "representatives")
+    forget(signed)
+    return members.select("doc_id", "rep"), members.filter("doc_id = rep").select(F.col("doc_id").alias("id"), "w"), written(candidates(chosen, threshold), "candidates")
 
 
 def jaccard_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
