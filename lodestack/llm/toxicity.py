@@ -17,7 +17,7 @@ from operator import mul
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,8 @@ from .common import mixed
 
 #: Labelled rows that are read to train on, toxic ones and clean ones: the documented bounds.
 SAMPLE, CLEAN_SAMPLE = 2000, 6000
+#: Characters of their texts, in all: further rows are left out whole.
+SAMPLE_CHARS = 1 << 26
 BUCKETS, DIM, LENGTHS = 1 << 17, 12, (3, 4, 5)
 #: A text of fewer words is filled up with a word of its own, so that a few words of chance don't decide.
 LEAST_WORDS, FILLER = 64, ""
@@ -90,10 +92,12 @@ class Model:
 
     def words(self, words: list[str]) -> np.ndarray:
         """What each word adds to the log odds, before it is divided by the number of words."""
-        if not words:
-            return np.empty(0)
-        grams, who = bags(words, len(self.weights))
-        return np.bincount(who, self.weights[grams], len(words)) / np.bincount(who, minlength=len(words))
+        out = [np.empty(0)]
+        for k in range(0, len(words), 20_000):
+            part = words[k : k + 20_000]
+            grams, who = bags(part, len(self.weights))
+            out.append(np.bincount(who, self.weights[grams], len(part)) / np.bincount(who, minlength=len(part)))
+        return np.concatenate(out)
 
     def probabilities(self, texts: list[str | None], known: dict[str, float] | None = None) -> list[float | None]:
         known = {} if known is None else known
@@ -183,16 +187,19 @@ def train(texts: list[str], labels: list[int], buckets: int = BUCKETS, dim: int
     return Model((emb @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, clean_sample: int = CLEAN_SAMPLE, seed: int = 7) -> Model:
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, clean_sample: int = CLEAN_SAMPLE, seed: int = 7, chars: int = SAMPLE_CHARS) -> Model:
     """A model trained on at most `sample` toxic and `clean_sample` clean labelled rows, those with the least hashes of their ids.
 
-    Rows without a label, text or id don't take part; labels that contradict each other do,
+    Of these only the first that have no more than `chars` characters together, and whole texts. Rows without a label, text or id don't take part; labels that contradict each other do,
     as they are. Only these rows reach the driver.
     """
     known = labels.select(F.col(id_col).alias("__id"), (F.col(label_col) > 0).cast("int").alias("__y")).dropna().distinct()
     order = [F.xxhash64("__id"), "__id", "__y"]
     chosen = known.filter("__y = 0").orderBy(*order).limit(clean_sample).union(known.filter("__y = 1").orderBy(*order).limit(sample))
-    found = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__t")).dropna().join(F.broadcast(chosen), "__id").collect()
+    found = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__t")).dropna().join(F.broadcast(chosen), "__id")
+    # an id may be on any number of rows: the driver gets what the bound leaves
+    running = F.sum(F.length("__t").cast("bigint")).over(Window.orderBy(*order, F.xxhash64("__t")).rowsBetween(Window.unboundedPreceding, 0))
+    found = found.withColumn("__n", running).filter(F.col("__n") <= chars).select("__id", "__y", "__t").collect()
     found = sorted({(r["__id"], r["__y"], r["__t"]) for r in found})
     return fitted_on([r[2] for r in found], [r[1] for r in found], seed)
 
@@ -228,7 +235,8 @@ _known: dict[tuple, dict[str, float]] = {}
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score: str = "toxic_score", flag: str = "toxic") -> DataFrame:
     """docs with the probability of toxicity and whether it reaches the model's threshold.
 
-    Every row stays, in one pass without a shuffle. A text without words (null, empty, marks
+    Every row stays, in one pass without a shuffle. A text of fewer than LEAST_WORDS words is
+    scored as if filled up to that with a neutral one, in training as well. A text without words (null, empty, marks
     only) has a null score and isn't toxic. The two names replace columns that have them.
     """
     names = [c for c in docs.columns if c not in (score, flag)]
