@@ -4,7 +4,8 @@ A wavelet matrix keeps a sequence of ids as one bit-plane per bit of the largest
 plane the sequence is split stably into those with a 0 and those with a 1, so that walking the
 planes with rank gives any token back, and counts or finds one token's places, in as many
 steps as there are planes. Planes are stored in blocks that are compressed on their own, each
-with the number of ones before it: a lookup unpacks one block a plane.
+with the number of ones before it and, within it, a directory of the ones before every 512 bits: a
+lookup unpacks one block a plane, and counts the ones of eight words at most.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import TOKENIZER, words_of
 
-MAGIC = b"WVM1"
-#: Bytes of a plane that are compressed together.
-BLOCK = 1 << 15
+MAGIC = b"WVM2"
+#: Bytes of a plane that are compressed together; bits between two entries of a block's directory.
+BLOCK, STEP = 1 << 15, 512
 SCHEMA = "shard string, n_docs bigint, n_tokens bigint, n_bytes bigint, payload binary"
 
 
@@ -39,8 +40,11 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray, level
         at, own = 0, []
         for k in range(0, len(raw), BLOCK):
             own.append(at)
-            at += int(np.count_nonzero(on[k * 8 : (k + BLOCK) * 8]))
-            parts.append(pack(raw[k : k + BLOCK].tobytes()))
+            words = _words(raw[k : k + BLOCK])
+            steps = np.add.reduceat(np.bitwise_count(words).astype(np.int64), np.arange(0, len(words), STEP // 64))
+            at += int(steps.sum())
+            before = (np.cumsum(steps) - steps).astype("<u4")
+            parts.append(pack(before.tobytes() + words.tobytes()))
             sizes.append(len(parts[-1]))
         ones.append(own)
         zeros.append(len(ids) - at)
@@ -51,6 +55,11 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray, level
     return b"".join((MAGIC, struct.pack("<4I", *map(len, tables)), *tables, *parts))
 
 
+def _words(raw: np.ndarray) -> np.ndarray:
+    """Bytes as little-endian 64-bit words, filled up with zeros."""
+    return np.frombuffer(raw.tobytes().ljust(-(-len(raw) // 8) * 8, b"\0"), "<u8")
+
+
 class WaveletShard:
     """One shard's file, opened: nothing but the blocks that a lookup touches is unpacked."""
 
@@ -71,22 +80,50 @@ class WaveletShard:
         self._blocks = np.concatenate(([at], ends))
         self._payload, self._unpack, self._kept = payload, unpack, {}
 
-    def _block(self, plane: int, k: int) -> np.ndarray:
+    def _block(self, plane: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ones before every STEP bits of a block, and its words."""
         key = plane * len(self._ones[0]) + k
         if key not in self._kept:
             raw = self._unpack(self._payload[self._blocks[key] : self._blocks[key + 1]])
-            self._kept[key] = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")
+            n = min(BLOCK * 8, self.n - k * BLOCK * 8)
+            steps = -(-(-(-n // 64)) // (STEP // 64))
+            self._kept[key] = np.frombuffer(raw, "<u4", steps), np.frombuffer(raw, "<u8", offset=4 * steps)
         return self._kept[key]
 
     def _bit(self, plane: int, i: int) -> int:
-        return int(self._block(plane, i // (BLOCK * 8))[i % (BLOCK * 8)])
+        k, rest = divmod(i, BLOCK * 8)
+        return int(self._block(plane, k)[1][rest >> 6]) >> (rest & 63) & 1
 
     def _rank1(self, plane: int, i: int) -> int:
         """Ones among the plane's first i bits."""
         if i >= self.n:
             return self.n - self.zeros[plane]
         k, rest = divmod(i, BLOCK * 8)
-        return self._ones[plane][k] + int(np.count_nonzero(self._block(plane, k)[:rest]))
+        before, words = self._block(plane, k)
+        at, whole = rest // STEP, rest >> 6
+        found = self._ones[plane][k] + int(before[at]) + int(np.bitwise_count(words[at * (STEP // 64) : whole]).sum())
+        return found + (int(words[whole]) & ((1 << (rest & 63)) - 1)).bit_count() if rest & 63 else found
+
+    def _walked(self, plane: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bits at many places, and the ones before each."""
+        bits, ones = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        block, rest = at // (BLOCK * 8), at % (BLOCK * 8)
+        for k in np.unique(block).tolist():
+            own = block == k
+            words, r = self._block(plane, k)[1], rest[own]
+            count = np.bitwise_count(words).astype(np.int64)
+            low = words[r >> 6] & ((np.uint64(1) << (r & 63).astype(np.uint64)) - np.uint64(1))
+            bits[own] = (words[r >> 6] >> (r & 63).astype(np.uint64)) & np.uint64(1)
+            ones[own] = self._ones[plane][k] + (np.cumsum(count) - count)[r >> 6] + np.bitwise_count(low)
+        return bits, ones
+
+    def _tokens_at(self, at: np.ndarray) -> np.ndarray:
+        value = np.zeros(len(at), np.uint32)
+        for p in range(self.planes):
+            bits, ones = self._walked(p, at)
+            value = value * np.uint32(2) + bits.astype(np.uint32)
+            at = np.where(bits == 1, self.zeros[p] + ones, at - ones)
+        return value
 
     def access(self, i: int) -> int:
         """The token at place i."""
@@ -123,8 +160,13 @@ class WaveletShard:
         ones = self._ones[plane]
         before = np.array(ones) if on else np.arange(len(ones)) * BLOCK * 8 - np.array(ones)
         j = int(np.searchsorted(before, k, side="right")) - 1
-        bits = self._block(plane, j)[: self.n - j * BLOCK * 8]
-        return j * BLOCK * 8 + int(np.flatnonzero(bits == on)[k - int(before[j])])
+        k -= int(before[j])
+        steps, words = self._block(plane, j)
+        steps = steps.astype(np.int64) if on else np.arange(len(steps)) * STEP - steps
+        at = int(np.searchsorted(steps, k, side="right")) - 1
+        k -= int(steps[at])
+        bits = np.unpackbits(words[at * (STEP // 64) : (at + 1) * (STEP // 64)].view(np.uint8), bitorder="little")
+        return j * BLOCK * 8 + at * STEP + int(np.flatnonzero(bits == on)[k])
 
     def select(self, token: int, k: int) -> int:
         """The place of the token's k-th occurrence, from 0."""
@@ -145,17 +187,11 @@ class WaveletShard:
 
     def tokens(self) -> np.ndarray:
         """The whole sequence, plane by plane."""
-        at, value = np.arange(self.n), np.zeros(self.n, np.uint32)
-        for p in range(self.planes):
-            bits = np.concatenate([self._block(p, k) for k in range(len(self._ones[p]))])[: self.n] if self.n else np.empty(0, np.uint8)
-            before = np.concatenate(([0], np.cumsum(bits, dtype=np.int64)))[:-1] if self.n else np.empty(0, np.int64)
-            on = bits[at]
-            value = value * 2 + on
-            at = np.where(on, self.zeros[p] + before[at], at - before[at])
-        return value
+        return self._tokens_at(np.arange(self.n))
 
     def document(self, j: int) -> np.ndarray:
-        return np.array([self.access(i) for i in range(self.starts[j], self.starts[j + 1])], np.uint32)
+        """The tokens of the j-th document, all of them plane by plane."""
+        return self._tokens_at(np.arange(self.starts[j], self.starts[j + 1]))
 
 
 def wavelet_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, shard_tokens: int = 1 << 21, level: int = 1) -> DataFrame:
@@ -196,7 +232,7 @@ def wavelet_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def token_counts(shards: DataFrame, tokens: list[int]) -> DataFrame:
-    """token, n: how often each token occurs in all shards, by rank alone."""
+    """token, n: how often each token occurs in all shards, by rank alone; 0 for one that none has, no rows without shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -208,7 +244,7 @@ def token_counts(shards: DataFrame, tokens: list[int]) -> DataFrame:
 
 
 def token_places(shards: DataFrame, tokens: list[int]) -> DataFrame:
-    """token, doc_id, place: each occurrence of each token, by select alone."""
+    """token, doc_id, place: each occurrence of each token, by select alone; documents without an id have a null one, repeated rows each their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
