@@ -115,6 +115,8 @@ class Scorer:
     def lengths(self, texts: list[str | None]) -> np.ndarray:
         """Code length of each text in each language, in units; 0 of null and empty ones."""
         out = np.zeros((len(texts), len(self.languages)), np.int64)
+        if not self.languages:
+            return out
         flat = self.cost.reshape(-1, len(self.languages))
         held: list[tuple[int, bytes]] = []
         n = 0
