@@ -30,13 +30,13 @@ def fused_ranks(*ranks: Column, k: int = 60) -> Column:
     return sum((1 / (F.lit(k) + r + 1) for r in ranks[1:]), 1 / (F.lit(k) + ranks[0] + 1))
 
 
-def ranked_whole(scores: DataFrame, by: list[str], key: str = "key", score: str = "score") -> DataFrame:
+def ranked_whole(scores: DataFrame, by: list[str], key: str = "key", score: str = "score", within: list[Column] | None = None) -> DataFrame:
     """ranked() at any size of a group: rows are sorted across tasks, and a task's ranks start where the ones before it end.
 
-    Without by, the whole table is one group. Null scores come last. Only a row a task and group is sent for the
+    Without by, the whole table is one group. Null scores come last; within is another order. Only a row a task and group is sent for the
     starts, and these are broadcast: no more than tasks and groups together.
     """
-    order = [*by, F.desc_nulls_last(score), F.asc(key)]
+    order = [*by, *(within or [F.desc_nulls_last(score), F.asc(key)])]
     rows = cut(scores).repartitionByRange(*order).sortWithinPartitions(*order)
     rows = cut(rows.withColumn("__at", F.monotonically_increasing_id()).withColumn("__task", F.shiftrightunsigned("__at", 33)))
     starts = rows.groupBy("__task", *by).agg(F.count("*").alias("__n"), F.min("__at").alias("__from"))
