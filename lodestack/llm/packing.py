@@ -240,10 +240,10 @@ def completed(sizes: list[int], capacity: int, nodes: int, incumbent: list[list[
 
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, group: int, tokenizer: str) -> tuple[DataFrame, Column]:
-    """(doc_id, h, n tokens) of each row, and the group that a row is in."""
-    one = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"))
-    counted = written(with_token_counts(one, "text", "n", tokenizer, ["doc_id", "h"]), "packing-sizes")
-    return counted, F.pmod("h", F.lit(max(1, -(-counted.count() // group)))).alias("g")
+    """(doc_id, h, r, n tokens) of each row, and the group that a row is in; r numbers rows, so that many alike are dealt to all groups."""
+    one = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(id_col, text_col).alias("h"), F.monotonically_increasing_id().alias("r"), F.col(text_col).alias("text"))
+    counted = written(with_token_counts(one, "text", "n", tokenizer, ["doc_id", "h", "r"]), "packing-sizes")
+    return counted, F.pmod(F.xxhash64("h", "r"), F.lit(max(1, -(-counted.count() // group)))).alias("g")
 
 
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, group: int = GROUP, nodes: int = NODES, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -258,7 +258,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     counted, group_of = _groups(docs, id_col, text_col, group, tokenizer)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n", "h"], ascending=[False, True], kind="stable")
+        rows = rows.sort_values(["n", "h", "r"], ascending=[False, True, True], kind="stable")
         ids, n = rows["doc_id"].tolist(), rows["n"].to_numpy()
         out: list[tuple] = []
         base, b = int(key[0]) << 32, 0
@@ -286,7 +286,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     counted, group_of = _groups(docs, id_col, text_col, group, tokenizer)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        sizes = [n % capacity for n in rows.sort_values(["n", "h"], ascending=[False, True], kind="stable")["n"].tolist() if n % capacity]
+        sizes = [n % capacity for n in rows.sort_values(["n", "h", "r"], ascending=[False, True, True], kind="stable")["n"].tolist() if n % capacity]
         bins, proven = pack(sizes, capacity, nodes)
         return pd.DataFrame([(int(key[0]), len(sizes), len(best_fit(sizes, capacity)), lower_bound(sizes, capacity), len(bins), proven)], columns=["g", "pieces", "best_fit", "bound", "bins", "proven"])
 
