@@ -285,7 +285,7 @@ def without_lines(docs: DataFrame, lost: DataFrame, id_col: str = "doc_id", text
     Only texts that may lose lines are sent anywhere: those whose hash a filter of the hashes of those that do lets
     through. Null texts lose none; rows alike in id and text lose the same lines.
     """
-    places = written(lost.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_list("at").alias("__lost")), "line-places")
+    places = written(lost.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_set("at").alias("__lost")), "line-places")
     known = filter_of_ids(places.select(F.col("__th").alias("id")), places.count())
     rows = docs.select(F.struct(*docs.columns).alias("d"), *_keys(id_col, text_col))
     same = among(rows, lambda c: ~known(c), "th").withColumn("__lost", F.lit(None).cast("array<int>")).select("d", "__lost")

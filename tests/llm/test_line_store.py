@@ -92,3 +92,9 @@ def test_a_filter_that_overflows_is_made_anew(spark):
     assert len(row) == 1 and len(row[0]["payload"]) > len(small)
     h = np.array([r["h"] for r in store.refs.collect()], np.int64).view(np.uint64)
     assert len(h) == 3003 and linededup.CuckooFilter.from_bytes(row[0]["payload"]).may_have(h).all()
+
+
+def test_many_rows_alike_lose_their_lines_once(spark):
+    docs = made(spark, [(5, "a\nb\nc")] * 300 + [(1, "b"), (9, "c\nd")]).repartition(3)
+    plan = [r for r in linededup.deduplicated(docs, n_lost="gone").groupBy("doc_id", "text", "gone").count().collect()]
+    assert {(r["doc_id"], r["text"], r["gone"], r["count"]) for r in plan} == {(5, "a\nc", 1, 300), (1, "b", 0, 1), (9, "d", 1, 1)}
