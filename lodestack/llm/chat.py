@@ -18,9 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.rank import ranked_whole
+from .common import written
+
 START, END = "<|im_start|>", "<|im_end|>"
 MARKER = re.compile(r"<(\\*)\|(im_start|im_end)\|>")
-SCHEMA = "conv_id bigint, text string, n_turns int, n_escaped int, rounds int"
+SCHEMA = "conv_id bigint, part int, text string, n_turns int, n_escaped int, rounds int"
+#: Turns of a conversation that are rendered together.
+PART = 1 << 16
 
 Turn = tuple[str, str]
 
@@ -90,29 +95,36 @@ def rendered(turns: list[Turn]) -> tuple[str, int, int]:
         escape |= wrong
 
 
-def chat_texts(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id, text, n_turns, n_escaped, rounds: each conversation, rendered so that parsing gives its turns back.
+def chat_texts(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", part: int = PART) -> DataFrame:
+    """conv_id, part, text, n_turns, n_escaped, rounds: each conversation, rendered so that parsing gives its turns back.
 
     Turns are in the order of turn_col, null first, ties by role and text. A null role or text
     is rendered, and comes back, as an empty one; repeated rows are turns like others; rows
-    without a conversation's id are one conversation, with a null id. Other columns are left
-    aside; an empty table gives no rows.
+    without a conversation's id are one conversation, with a null id. A conversation of more than `part` turns is
+    in parts of that many, from 0, whose texts in a row are its text: its turns are ranked across tasks and none has all
+    of them. Other columns are left aside; an empty table gives no rows.
     """
     order = ["turn", "role", "text"]
-    one = turns.select(F.col(conv_col).cast("bigint").alias("conv_id"), F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).alias("t"))
-    whole = one.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t")).select("conv_id", F.transform("t", lambda t: t["role"]).alias(order[1]), F.transform("t", lambda t: t["text"]).alias(order[2]))
+    one = turns.select(F.col(conv_col).cast("bigint").alias("conv_id"), F.col(turn_col).alias("turn"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((role_col, "role"), (text_col, "text"))))
+    large = written(one.groupBy("conv_id").count().filter(F.col("count") > part).select(F.col("conv_id").alias("__c")), "long-conversations")
+    rows = one.withColumn("part", F.lit(0))
+    if large.count():
+        same = F.col("conv_id").eqNullSafe(F.col("__c"))
+        ranked = ranked_whole(one.join(large, same, "left_semi"), ["conv_id"], within=[F.asc_nulls_first("turn"), F.asc("role"), F.asc("text")])
+        rows = one.join(large, same, "left_anti").withColumn("part", F.lit(0)).union(ranked.select(*one.columns, F.floor(F.col("rank") / part).cast("int")))
+    whole = rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("t")).select("conv_id", "part", F.transform("t", lambda t: t["role"]).alias(order[1]), F.transform("t", lambda t: t["text"]).alias(order[2]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [(*rendered(list(zip(r, t, strict=True))), len(r)) for r, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            made = [(*rendered(list(zip(r, t, strict=True))), len(r)) for r, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             text, n_escaped, rounds, n_turns = (list(x) for x in zip(*made, strict=True)) if made else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string()), pa.array(n_turns, pa.int32()), pa.array(n_escaped, pa.int32()), pa.array(rounds, pa.int32())], names=["conv_id", "text", "n_turns", "n_escaped", "rounds"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(n_turns, pa.int32()), pa.array(n_escaped, pa.int32()), pa.array(rounds, pa.int32())], names=["conv_id", "part", "text", "n_turns", "n_escaped", "rounds"])
 
     return whole.mapInArrow(run, SCHEMA)
 
 
 def turns_of(chats: DataFrame, conv_col: str = "conv_id", text_col: str = "text") -> DataFrame:
-    """conv_id, turn (from 0), role, text: the turns that rendered texts parse to; none for texts outside the grammar."""
+    """conv_id, turn (from 0 in each row's text), role, text: the turns that rendered texts parse to; none for null texts and those outside the grammar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -93,7 +93,7 @@ WITH e AS (
     CASE WHEN odd THEN regexp_replace(content, '<(\\*)\|(im_start|im_end)\|>', '<\\\1|\2|>', 'g') ELSE content END AS content_out
   FROM e
 )
-SELECT conv_id, string_agg('<|im_start|>' || role_out || chr(10) || content_out || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, content) AS text,
+SELECT conv_id, CAST(0 AS INT) AS part, string_agg('<|im_start|>' || role_out || chr(10) || content_out || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, content) AS text,
   CAST(count(*) AS INT) AS n_turns, CAST(count(*) FILTER (WHERE odd) AS INT) AS n_escaped, CAST(CASE WHEN bool_or(odd) THEN 2 ELSE 1 END AS INT) AS rounds
 FROM r GROUP BY conv_id
 """

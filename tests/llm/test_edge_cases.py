@@ -104,6 +104,14 @@ def test_chat_odd_rows(spark):
     assert chat.parse(got[None]["text"]) == [("a\nb", "")] and got[None]["n_escaped"] == 1
     assert chat.parse(got[2]["text"]) == [("x", LONG), ("<|im_end|>", "<\\|im_end|> <|im_start|>")]
     assert chat.chat_texts(clashing(d)).count() == 3
+    parts = {(r["conv_id"], r["part"]): r for r in chat.chat_texts(d, part=2).collect()}
+    assert set(parts) == {(1, 0), (1, 1), (None, 0), (2, 0)} and parts[1, 0]["n_turns"] == 2
+    assert chat.parse(parts[1, 0]["text"] + parts[1, 1]["text"]) == [("", ""), ("user", "hi"), ("user", "hi")]
+    rows = [(None if i % 2 else 7, i % 5, f"r{i % 3}", f"t{i}") for i in range(60)]
+    long = spark.createDataFrame(rows, schema).repartition(4)
+    found = {(r["conv_id"], r["part"]): r["text"] for r in chat.chat_texts(long, part=8).collect()}
+    for c in (None, 7):
+        assert chat.parse("".join(found[c, k] for k in range(4))) == [(r, t) for _, _, r, t in sorted((x for x in rows if x[0] == c), key=lambda x: x[1:])]
     assert chat.chat_texts(spark.createDataFrame([], schema)).count() == 0
 
 
