@@ -54,8 +54,13 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     return docs.select(F.col(id_col), found.alias("__f")).select(id_col, F.col("__f.n").alias("n_shingles"), F.col("__f.kept").alias("sketch"))
 
 
+def merged_rows(sketched: DataFrame, by: str, sketch_col: str = "sketch") -> DataFrame:
+    """by, hash: the sketch of each group's union, a row a hash: no group is put together, whatever it holds. Empty sketches give no rows."""
+    return sketched.select(F.col(by), F.explode(sketch_col).alias("hash")).distinct()
+
+
 def merge(sketched: DataFrame, by: str, sketch_col: str = "sketch") -> DataFrame:
-    """by, sketch: the sketch of each group's union, exact at any number of members; a group of empty sketches has an empty one."""
+    """by, sketch: the same as an array, for groups whose sketch fits into a row; a group of empty sketches has an empty one."""
     one = sketched.select(F.col(by), F.explode_outer(sketch_col).alias("__h"))
     return one.groupBy(by).agg(F.array_sort(F.collect_set("__h")).alias("sketch"))
 
@@ -63,11 +68,20 @@ def merge(sketched: DataFrame, by: str, sketch_col: str = "sketch") -> DataFrame
 def containment(small: DataFrame, large: DataFrame, small_id: str, large_id: str, least: float = 0.5) -> DataFrame:
     """small_id, large_id, shared, containment: pairs of which at least `least` of the small one's sketch lies in the large one's.
 
-    An equi-join on hashes; rows with an empty sketch are in no pair. Ids name rows: rows that
+    Only the hashes of a small sketch that are rarest among the large ones are joined, as many as a pair
+    can't miss altogether; a passage that very many documents share makes no pairs unless a document is little
+    else. Pairs found are counted on their sketches. Rows with an empty sketch are in no pair. Ids name rows: rows that
     share an id are taken as one.
     """
-    a = small.select(F.col(small_id).alias("__a"), F.explode("sketch").alias("__h")).distinct()
-    b = large.select(F.col(large_id).alias("__b"), F.explode("sketch").alias("__h")).distinct()
-    size = a.groupBy("__a").agg(F.count("*").alias("__n"))
-    found = a.join(b, "__h").groupBy("__a", "__b").agg(F.count("*").alias("shared"))
-    return found.join(size, "__a").select(F.col("__a").alias(small_id), F.col("__b").alias(f"in_{large_id}" if small_id == large_id else large_id), "shared", (F.col("shared") / F.col("__n")).alias("containment")).filter(F.col("containment") >= least)
+    whole = lambda df, i: df.select(F.col(i).alias("__i"), F.explode("sketch").alias("__h")).distinct()
+    a, b = whole(small, small_id), whole(large, large_id)
+    often = b.groupBy("__h").agg(F.count("*").alias("__c"))
+    size = a.groupBy("__i").agg(F.count("*").alias("__n"))
+    met = a.join(often, "__h").groupBy("__i").agg(F.array_sort(F.collect_list(F.struct("__c", "__h"))).alias("__m")).join(size, "__i")
+    # sorted by how often the large ones have them, hashes that none has come first
+    first = F.col("__n") - F.ceil(F.col("__n") * F.lit(least) - F.lit(1e-9)) + 1 - (F.col("__n") - F.size("__m"))
+    some = met.select("__i", F.explode(F.slice("__m", F.lit(1), F.greatest(F.least(first, F.size("__m")), F.lit(0)).cast("int"))).alias("__x")).select(F.col("__i").alias("__a"), F.col("__x.__h").alias("__h"))
+    pairs = some.join(b.select(F.col("__i").alias("__b"), "__h"), "__h").select("__a", "__b").distinct()
+    lists = lambda df, i, to: df.groupBy("__i").agg(F.collect_list("__h").alias(to)).withColumnRenamed("__i", i)
+    found = pairs.join(lists(a, "__a", "__s"), "__a").join(lists(b, "__b", "__l"), "__b").withColumn("shared", F.size(F.array_intersect("__s", "__l")).cast("bigint"))
+    return found.select(F.col("__a").alias(small_id), F.col("__b").alias(f"in_{large_id}" if small_id == large_id else large_id), "shared", (F.col("shared") / F.size("__s")).alias("containment")).filter(F.col("containment") >= least)

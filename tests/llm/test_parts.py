@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestack.llm import common, langid, toxicity, wavelet
+from lodestack.llm import common, fingerprint, langid, toxicity, wavelet
 
 
 @pytest.mark.parametrize("n", [1, 63, 64, 65, 511, 512, 513, 262_143, 262_144, 262_145, 600_000])
@@ -117,3 +117,17 @@ def test_held_out_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").filter(F.length("text") > 60)
     found = langid.identified(docs.filter("doc_id % 2 = 1"), langid.fitted(docs.filter("doc_id % 2 = 0"))).collect()
     assert sum(r["lang"] == r["lang_found"] for r in found) / len(found) > 0.95
+
+
+@pytest.mark.parametrize("least", [0.2, 0.5, 0.8, 1.0])
+def test_containment_by_rare_hashes_loses_no_pair(spark, least):
+    rng = np.random.default_rng(int(least * 10))
+    common_part = list(range(12))  # in all of the large ones
+    large = {i: sorted({*common_part, *rng.integers(100, 400, rng.integers(0, 60)).tolist()}) for i in range(40)}
+    small = {i: sorted({*common_part[: rng.integers(0, 5)], *rng.choice(large[i % 40], rng.integers(0, 9)).tolist(), *rng.integers(400, 450, rng.integers(0, 6)).tolist()}) for i in range(60)}
+    frame = lambda d, n: spark.createDataFrame(list(d.items()), f"{n} int, sketch array<bigint>")
+    got = {(r["s"], r["l"]): (r["shared"], r["containment"]) for r in fingerprint.containment(frame(small, "s"), frame(large, "l"), "s", "l", least).collect()}
+    want = {(i, j): (len({*x} & {*y}), len({*x} & {*y}) / len(x)) for i, x in small.items() for j, y in large.items() if x and len({*x} & {*y}) >= least * len(x)}
+    assert got == want and want
+    rows = fingerprint.merged_rows(frame(large, "l").withColumn("g", F.col("l") % 3), "g").collect()
+    assert sorted((r["g"], r["hash"]) for r in rows) == sorted({(i % 3, h) for i, x in large.items() for h in x})
