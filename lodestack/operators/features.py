@@ -35,14 +35,20 @@ def informative(token: Column, stop: list[str] | None = None) -> Column:
     return (F.length(token) >= 2) & ~F.lower(token).isin(*stop) & ~dunder & (F.replace(token, F.lit("_"), F.lit("")) != "")
 
 
+def term_counts(rows: DataFrame, key: str) -> DataFrame:
+    """key, token, n of rows (key, token), combined before they are sent; plans that hold it twice send it once."""
+    return rows.groupBy(key, "token").agg(F.count("*").alias("n"))
+
+
 def identifier_idf(rows: DataFrame, n: int | Column, key: str = "qname") -> DataFrame:
     """token, df, idf = ln((N + 1) / (df + 1)) + 1 over rows (key, token); case matters."""
-    return rows.groupBy("token").agg(F.count_distinct(key).alias("df")).withColumn("idf", F.log((F.greatest(F.lit(n) if isinstance(n, int) else n, F.lit(1)) + 1) / (F.col("df") + 1)) + 1)
+    return term_counts(rows, key).groupBy("token").agg(F.count("*").alias("df")).withColumn("idf", F.log((F.greatest(F.lit(n) if isinstance(n, int) else n, F.lit(1)) + 1) / (F.col("df") + 1)) + 1)
 
 
 def mean_idf(rows: DataFrame, idf: DataFrame, key: str = "qname") -> DataFrame:
     """key, tfidf: the sum over tokens of share x idf, which is the mean idf of its occurrences; unknown tokens count 1."""
-    return rows.join(idf.select("token", "idf"), "token", "left").groupBy(key).agg(F.avg(F.coalesce("idf", F.lit(1.0))).alias("tfidf"))
+    one = term_counts(rows, key).join(idf.select("token", "idf"), "token", "left")
+    return one.groupBy(key).agg((F.sum(F.col("n") * F.coalesce("idf", F.lit(1.0))) / F.sum("n")).alias("tfidf"))
 
 
 def structure_richness(pairs: Column, size: Column) -> Column:
