@@ -23,3 +23,12 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed and kept in the shared checkpoint folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table that was just read, over all cores if it has fewer splits than there are: one file of one row group would be one task's work.
+
+    A large table has more splits than a cluster has cores and stays as it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import bm25, cover, rank, select, similar
 from ..operators.tables import cut
-from .texts import IDENT, table
+from .texts import IDENT, documents_table, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -35,7 +35,7 @@ def passages(spark, sf_dir) -> DataFrame:
 
 
 def documents(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.identifiers("text").alias("tokens"))
+    return documents_table(spark, sf_dir).select("doc_id", T.identifiers("text").alias("tokens"))
 
 
 _P = f"""
@@ -73,7 +73,7 @@ def _hits(spark, sf_dir, k: int) -> DataFrame:
 
 def _sized(spark, sf_dir) -> DataFrame:
     """key, text, base, cost: the structural channel here is the number of characters over its maximum."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents_table(spark, sf_dir)
     top = F.broadcast(docs.agg(F.max("n_chars").alias("m")))
     return docs.select(F.col("doc_id").alias("key"), "text", F.col("n_chars").alias("cost")).crossJoin(top).select("key", "text", (F.col("cost") / F.col("m")).alias("base"), "cost")
 
@@ -139,7 +139,7 @@ def blend_topk(spark, sf_dir):
 
 
 def _texts(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    return documents_table(spark, sf_dir).select(F.col("doc_id").alias("key"), "text")
 
 
 _COVERED = f"""pw AS (SELECT item_id AS query_id, list_distinct({IDENT}) AS w, {IDENT} AS wn FROM benchmark), lo AS (SELECT doc_id AS key, lower(coalesce(text, '')) AS low FROM documents),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import spans
 from ..functions import text as T
 from ..operators import chunk, features
+from ..operators.tables import spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -27,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts, where every one of them is worked through."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 IDENT = "regexp_extract_all(lower(coalesce(text, '')), '[A-Za-z_][A-Za-z0-9_]*')"
 ALNUM = "list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+'), lambda t: lower(t))"
 #: Distinct values in the order of their first places.
@@ -38,12 +44,12 @@ STEM = "lower(CASE " + " ".join(f"WHEN t LIKE '%{e}' AND length(t) > {len(e) + 2
 @query(f"SELECT doc_id, CAST(len({IDENT}) AS BIGINT) AS n_tokens, CAST(len(list_distinct({IDENT})) AS BIGINT) AS n_distinct FROM documents")
 def tok_counts(spark, sf_dir):
     t = T.identifiers("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("bigint").alias("n_tokens"), F.size(F.array_distinct(t)).cast("bigint").alias("n_distinct"))
+    return documents_table(spark, sf_dir).select("doc_id", F.size(t).cast("bigint").alias("n_tokens"), F.size(F.array_distinct(t)).cast("bigint").alias("n_distinct"))
 
 
 @query(f"WITH t AS (SELECT doc_id, unnest({IDENT}) AS token FROM documents) SELECT token, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY token")
 def tok_vocab_df(spark, sf_dir):
-    one = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.identifiers("text")).alias("token")).groupBy("token", "doc_id").agg(F.count("*").alias("n"))
+    one = documents_table(spark, sf_dir).select("doc_id", F.explode(T.identifiers("text")).alias("token")).groupBy("token", "doc_id").agg(F.count("*").alias("n"))
     return one.groupBy("token").agg(F.count("*").alias("df"), F.sum("n").alias("cf"))
 
 
@@ -109,7 +115,7 @@ INFORMATIVE = f"length(token) >= 2 AND lower(token) NOT IN ({_STOP}) AND NOT (st
 
 @query(f"WITH t AS (SELECT unnest({IDENT}) AS token FROM documents) SELECT token, count(*) AS n FROM t WHERE {INFORMATIVE} GROUP BY token")
 def informative_filter(spark, sf_dir):
-    one = table(spark, sf_dir, "documents").select(F.explode(T.identifiers("text")).alias("token"))
+    one = documents_table(spark, sf_dir).select(F.explode(T.identifiers("text")).alias("token"))
     return one.groupBy("token").agg(F.count("*").alias("n")).filter(features.informative(F.col("token")))
 
 
@@ -119,9 +125,8 @@ _IDF = f"""t AS (SELECT doc_id, unnest({IDENT}) AS token FROM documents), i AS (
 
 
 def _idf(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    rows = docs.select("doc_id", F.explode(T.identifiers("text")).alias("token"))
-    return rows, features.identifier_idf(rows, docs.count(), "doc_id")
+    rows = documents_table(spark, sf_dir).select("doc_id", F.explode(T.identifiers("text")).alias("token"))
+    return rows, features.identifier_idf(rows, table(spark, sf_dir, "documents").count(), "doc_id")
 
 
 @query(f"WITH {_IDF} SELECT token, df, floor(idf * 1000000 + 0.5) / 1000000 AS idf FROM i")
@@ -139,7 +144,7 @@ _STARTS = "list_concat([0], list_transform(range(1, len(string_split(coalesce(te
 
 @query(f"SELECT doc_id, CAST({_STARTS} AS INT[]) AS starts FROM documents")
 def line_starts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", spans.line_starts("text").alias("starts"))
+    return documents_table(spark, sf_dir).select("doc_id", spans.line_starts("text").alias("starts"))
 
 
 @query(f"""
