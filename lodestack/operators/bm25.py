@@ -48,6 +48,21 @@ class _Asked:
         row = np.repeat(np.arange(len(n)), n)
         return row[term >= 0], term[term >= 0].astype(np.int64), n
 
+    def products(self, row: np.ndarray, term: np.ndarray, n: np.ndarray, lo: int, hi: int, idf: np.ndarray, average: float, k1: float, b: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each block: its first query, and of the rows lo to hi the terms' counts, the queries' and the scores."""
+        i, j = np.searchsorted(row, (lo, hi))
+        length = np.maximum(n[lo:hi], 1)
+        for first, used, times in self.blocks:
+            at = np.searchsorted(used, term[i:j])
+            mine = at < len(used)
+            mine[mine] = used[at[mine]] == term[i:j][mine]
+            tf = np.bincount((row[i:j][mine] - lo) * len(used) + at[mine], minlength=(hi - lo) * len(used)).reshape(hi - lo, len(used)).astype(float)
+            part = idf[used] * tf * (k1 + 1) / (tf + (k1 * (1 - b + b * length / average))[:, None])
+            yield first, tf, times, part @ times
+
+    def scores(self, *given) -> Iterator[tuple[int, np.ndarray]]:
+        return ((first, score) for first, _, _, score in self.products(*given))
+
 
 def _asked(queries: DataFrame, query_key: str, tokens: str, every: bool) -> list[_Asked]:
     rows = [(r[0], r[1] or []) for r in queries.select(query_key, tokens).collect()]
@@ -117,16 +132,7 @@ def _scored(docs: DataFrame, asked: _Asked, idf: np.ndarray, average: float, k1:
         for x in batches:
             row, term, n = asked.places(x.column(len(columns)))
             for lo in range(0, x.num_rows, DOCS):
-                i, j = np.searchsorted(row, (lo, lo + DOCS))
-                size = min(DOCS, x.num_rows - lo)
-                length = np.maximum(n[lo : lo + size], 1)
-                for first, used, times in asked.blocks:
-                    at = np.searchsorted(used, term[i:j])
-                    mine = at < len(used)
-                    mine[mine] = used[at[mine]] == term[i:j][mine]
-                    tf = np.bincount((row[i:j][mine] - lo) * len(used) + at[mine], minlength=size * len(used)).reshape(size, len(used)).astype(float)
-                    part = idf[used] * tf * (k1 + 1) / (tf + (k1 * (1 - b + b * length / average))[:, None])
-                    score = part @ times
+                for first, tf, times, score in asked.products(row, term, n, lo, min(lo + DOCS, x.num_rows), idf, average, k1, b):
                     some = np.ones(score.shape, bool) if every else (tf > 0).astype(np.float32) @ (times > 0).astype(np.float32) > 0
                     if over is not None:
                         score = score / over[first : first + score.shape[1]]
@@ -190,6 +196,63 @@ def bm25(queries: DataFrame, docs: DataFrame, query_key: str = "query_id", doc_k
     return _united(parts, queries, docs, query_key, doc_key, keep)
 
 
+def ranks_of(queries: DataFrame, docs: DataFrame, chosen: DataFrame, query_key: str = "query_id", doc_key: str = "doc_id", k1: float = 1.2, b: float = 0.75, tokens: str = "tokens", digits: int = 6) -> DataFrame:
+    """query key, doc key, score, rank: where chosen documents (doc key: whole numbers, a list that the driver may hold) stand among all in each query's ranking.
+
+    Ranks count from 0, by normalised BM25 rounded to `digits`, ties by key, documents without a common term among them. A pass scores the chosen
+    ones, and another counts for each how many go before it: no ranking is put together.
+    """
+    scale, kind = 10.0**digits, queries.schema[query_key].dataType
+    schema = T.StructType([queries.schema[query_key], docs.schema[doc_key], T.StructField("score", T.DoubleType()), T.StructField("rank", T.LongType())])
+    out = []
+    for asked in _asked(queries, query_key, tokens, True):
+        df, n, _, average = _counted(docs, asked, tokens)
+        if not n:
+            continue
+        idf = np.log((n - df + 0.5) / (df + 0.5) + 1)
+        one = lambda docs, every, top, slack: _scored(docs, asked, idf, average, k1, b, (query_key, doc_key), kind, tokens, [], every, top, slack, None)  # noqa: B023, E731
+        best = {r[0]: r[1] for r in one(docs, False, 1, np.zeros(len(asked.keys))).groupBy(query_key).agg(F.max("score")).collect()}
+        over = np.array([best.get(k) or 1.0 for k in asked.keys])
+        at = {k: i for i, k in enumerate(asked.keys)}
+        marks: list[tuple[np.ndarray, np.ndarray]] = []
+        rows = one(docs.join(F.broadcast(chosen.select(doc_key)), doc_key, "left_semi").select(doc_key, tokens), True, None, None).toArrow()
+        q = np.array([at[k] for k in rows.column(0).to_pylist()], np.int64)
+        key, whole = rows.column(1).to_numpy(), np.floor(rows.column(2).to_numpy() / over[q] * scale + 0.5).astype(np.int64)
+        for i in range(len(asked.keys)):
+            own = np.flatnonzero(q == i)
+            own = own[np.lexsort((key[own], -whole[own]))]
+            marks.append((-whole[own], key[own]))
+
+        def count(batches: Iterator[pa.RecordBatch], asked=asked, idf=idf, average=average, over=over, marks=marks) -> Iterator[pa.RecordBatch]:
+            before = [np.zeros(len(m[0]) + 1, np.int64) for m in marks]
+            for x in batches:
+                row, term, size = asked.places(x.column(1))
+                ids = x.column(0).to_numpy()
+                for lo in range(0, x.num_rows, DOCS):
+                    for first, score in asked.scores(row, term, size, lo, min(lo + DOCS, x.num_rows), idf, average, k1, b):
+                        whole = -np.floor(score / over[first : first + score.shape[1]] * scale + 0.5).astype(np.int64)
+                        for j in range(whole.shape[1]):
+                            values, keys = marks[first + j]
+                            own, key = whole[:, j], ids[lo : lo + DOCS]
+                            place, end = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+                            tied = np.flatnonzero(place < end)  # of marks with the same score those with a larger key come after
+                            for v in np.unique(own[tied]).tolist():
+                                some = tied[own[tied] == v]
+                                place[some] += np.searchsorted(keys[place[some[0]] : end[some[0]]], key[some], "right")
+                            before[first + j] += np.bincount(place, minlength=len(values) + 1)
+            for i, (n, m) in enumerate(zip(before, marks, strict=True)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m[1]), i)), pa.array(m[1].astype(np.int64)), pa.array(np.cumsum(n)[:-1])], names=["q", "key", "n"])
+
+        found = docs.select(doc_key, tokens).mapInArrow(count, "q bigint, key bigint, n bigint").groupBy("q", "key").agg(F.sum("n").alias("n"))
+        known = queries.sparkSession.createDataFrame([(asked.keys[i], i, int(k), -int(v) / scale) for i, (vs, ks) in enumerate(marks) for v, k in zip(vs, ks, strict=True)], T.StructType([queries.schema[query_key], T.StructField("q", T.LongType()), T.StructField("key", T.LongType()), T.StructField("score", T.DoubleType())]))
+        out.append(found.join(known, ["q", "key"]).select(query_key, F.col("key").cast(docs.schema[doc_key].dataType).alias(doc_key), "score", F.col("n").alias("rank")))
+    if not out:
+        return queries.sparkSession.createDataFrame([], schema)
+    for p in out[1:]:
+        out[0] = out[0].union(p)
+    return out[0]
+
+
 def okapi(queries: DataFrame, docs: DataFrame, query_key: str = "query_id", doc_key: str = "doc_id", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, tokens: str = "tokens", keep: list[str] | None = None, every: bool = False, top: int | None = None, digits: int = 6) -> DataFrame:
     """query key, doc key, keep, score: Okapi BM25; a term in over half of the documents weighs epsilon times the mean idf of all terms.
 

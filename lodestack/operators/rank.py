@@ -82,11 +82,15 @@ def chosen_roots(lexical: DataFrame, structural: DataFrame, by: list[str], top_k
     return one.withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy("o"))).filter(F.col("pos") <= top_k).drop("o")
 
 
+def chosen_depth(top_k: int, k: int = 60) -> int:
+    """The top_k first of a channel fuse to over 1 / (k + top_k); beyond this rank in both channels no pair reaches that."""
+    return 2 * (k + top_k)
+
+
 def chosen_roots_of(pairs: DataFrame, by: list[str], top_k: int, key: str = "key", lexical_share: float = 0.5, k: int = 60) -> DataFrame:
     """chosen_roots() of pairs that hold both full ranks, rank and structural, in one row: they are read once."""
     keep = max(0, min(top_k, math.ceil(top_k * max(0.0, min(1.0, lexical_share)))))
-    # the top_k first of a channel fuse to over 1 / (k + top_k); beyond 2 * (k + top_k) in both channels no pair reaches that
-    near = pairs.filter(F.least("rank", "structural") <= 2 * (k + top_k)).withColumn("score", rounded(fused_ranks(F.col("rank"), F.col("structural"), k=k), 12))
+    near = pairs.filter(F.least("rank", "structural") <= chosen_depth(top_k, k)).withColumn("score", rounded(fused_ranks(F.col("rank"), F.col("structural"), k=k), 12))
     w = Window.partitionBy(*by)
     near = near.withColumn("fused", F.row_number().over(w.orderBy(F.desc("score"), key)) + keep)
     first = F.row_number().over(w.orderBy(F.when(F.col("rank") < keep, F.col("rank")).otherwise(F.col("fused"))))

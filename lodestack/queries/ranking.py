@@ -111,7 +111,14 @@ o AS (SELECT query_id, key, rank AS o FROM h WHERE rank < 5 UNION ALL SELECT que
 g AS (SELECT query_id, key, min(o) AS o FROM o GROUP BY query_id, key)
 SELECT * FROM (SELECT query_id, key, CAST(row_number() OVER (PARTITION BY query_id ORDER BY o) AS INT) AS pos FROM g) WHERE pos <= {K}""")
 def choose_roots(spark, sf_dir):
-    return rank.chosen_roots_of(_ranked(spark, sf_dir), ["query_id"], K)
+    docs = _sized(spark, sf_dir)
+    st = cut(rank.ranked_whole(docs.select("key", T.rounded(F.col("base"), 9).alias("by")), [], score="by").select("key", F.col("rank").alias("structural")))
+    # no pair beyond these ranks in both channels is chosen: the two lists' heads, and where each stands in the other
+    depth = rank.chosen_depth(K) + 1
+    hits = bm25.top_k(bm25.bm25(passages(spark, sf_dir), documents(spark, sf_dir), every=True, top=depth), depth).select("query_id", F.col("doc_id").alias("key"), (F.col("rank") - 1).cast("bigint").alias("rank"))
+    heads = st.filter(F.col("structural") < depth)
+    found = bm25.ranks_of(passages(spark, sf_dir), docs.withColumn("tokens", T.identifiers("text")), heads, doc_key="key").select("query_id", "key", "rank")
+    return rank.chosen_roots_of(hits.union(found).distinct().join(st, "key"), ["query_id"], K)
 
 
 @query(f"""WITH {HITS}, w AS (SELECT query_id, key, 1.0 / (61 + rank) AS f, max(score) OVER (PARTITION BY query_id) AS top FROM h)

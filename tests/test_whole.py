@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestack.operators import rank, select, similar
 from lodestack.queries import queries
@@ -190,3 +191,17 @@ def test_empty_queries_and_texts(spark):
     asked = spark.createDataFrame([(1, []), (2, ["data", "q"])], "query_id bigint, tokens array<string>")
     assert {tuple(r) for r in cover.coverage(texts, asked).collect()} == {(2, 1, 0.0), (2, 2, 0.5)}
     assert {tuple(r)[:2] for r in cover.coverage(texts, asked, least=0.5).collect()} == {(1, 1), (1, 2), (2, 2)}
+
+
+def test_ranks_of_a_few_documents_among_all(spark):
+    from lodestack.operators import bm25
+
+    rng = np.random.default_rng(3)
+    docs = spark.createDataFrame([(d, [f"w{x % 9}" for x in rng.zipf(1.5, int(rng.integers(0, 5)))]) for d in range(-150, 350)], "doc_id bigint, tokens array<string>").repartition(3)
+    asked = spark.createDataFrame([(q, [f"w{q}", "w1", "none"]) for q in range(4)] + [(9, []), (10, ["none"])], "query_id int, tokens array<string>")
+    some = docs.filter("doc_id % 7 = 0").select("doc_id")
+    whole = bm25.bm25(asked, docs, every=True).withColumn("score", F.floor(F.col("score") * 1e6 + 0.5) / 1e6)
+    want = {(r["query_id"], r["doc_id"]): (r["score"], r["rank"]) for r in rank.ranked_whole(whole, ["query_id"], key="doc_id").join(some, "doc_id").collect()}
+    got = {(r["query_id"], r["doc_id"]): (r["score"], r["rank"]) for r in bm25.ranks_of(asked, docs, some).collect()}
+    assert got == want and len(got) == 6 * some.count()
+    assert bm25.ranks_of(asked, docs.limit(0), some).count() == 0
