@@ -87,7 +87,7 @@ def with_token_counts(df: DataFrame, text_col: str, out: str, tokenizer: str = T
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = words_of(tokenizer).count
         for b in batches:
-            n = pa.array([count(t) for t in b.column(len(keep)).to_pylist()], pa.int64())
+            n = pa.array([count(t.as_py()) for t in b.column(len(keep))], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], n], names=[*keep, out])
 
     return df.select(*keep, df[text_col].cast("string").alias("__text")).mapInArrow(run, schema)
@@ -98,7 +98,7 @@ def token_count(text_col: str, tokenizer: str = TOKENIZER) -> Column:
     @F.arrow_udf("bigint")
     def run(texts: pa.Array) -> pa.Array:
         count = words_of(tokenizer).count
-        return pa.array([count(t) for t in texts.to_pylist()], pa.int64())
+        return pa.array([count(t.as_py()) for t in texts], pa.int64())
 
     return run(F.col(text_col).cast("string"))
 

@@ -39,6 +39,8 @@ SMALL = 32
 LISTED = 48
 #: Documents that are compared with each other at a time, by sketches and on whole sets.
 BLOCK, CELL = 2048, 512
+#: Texts whose signatures a task holds at a time.
+PART = 1000
 #: Standard deviations that thinning may add to a symmetric difference.
 SLACK = 3.5
 
@@ -90,11 +92,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: f
     """A row for each document that has an id and words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, PART) for b in batches for k in range(0, b.num_rows, PART)):
             rows = []
             ids = batch.column(0).to_pylist()
-            for d, t in zip(ids, batch.column(1).to_pylist(), strict=True):
-                grams = word_gram_hashes(t, n)
+            for d, t in zip(ids, batch.column(1), strict=True):
+                grams = word_gram_hashes(t.as_py(), n)
                 if d is None or not len(grams):
                     continue
                 j = band(len(grams), threshold)
