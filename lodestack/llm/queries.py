@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.tables import spread
 from . import ann, chat, fingerprint, langid, linededup, mixing, ngramjoin, packing, toxicity, wavelet
 
 
@@ -13,16 +14,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts, over all cores also where their file has fewer splits."""
+    return spread(_table(spark, sf_dir, "documents"))
+
+
 def op1_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wavelet.wavelet_shards(_table(spark, sf_dir, "documents"))
+    return wavelet.wavelet_shards(_documents(spark, sf_dir))
 
 
 def op2_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(_table(spark, sf_dir, "documents"))
+    return packing.packed(_documents(spark, sf_dir))
 
 
 def op3_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint.sketches(_table(spark, sf_dir, "documents"))
+    return fingerprint.sketches(_documents(spark, sf_dir))
 
 
 def op4_kmeans_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,17 +36,17 @@ def op4_kmeans_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     model = toxicity.fitted(docs, _table(spark, sf_dir, "labels"))
     return toxicity.scored(docs.select("doc_id", "text"), model).select("doc_id", "toxic_score", "toxic")
 
 
 def op6_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixture(_table(spark, sf_dir, "documents"))
+    return mixing.mixture(_documents(spark, sf_dir))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return linededup.deduplicated(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
 def op8_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,12 +54,12 @@ def op8_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     return langid.identified(docs.select("doc_id", "text"), langid.fitted(docs)).select("doc_id", "lang_found", "bits_per_byte", "margin_bits")
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngramjoin.classes(_table(spark, sf_dir, "documents"))
+    return ngramjoin.classes(_documents(spark, sf_dir))
 
 
 SQL_OP3 = f"""
