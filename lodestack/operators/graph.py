@@ -23,12 +23,12 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct()
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-6, most: int = 100, fixed: int | None = None) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-6, most: int = 100, fixed: int | None = None, every: int = 3) -> DataFrame:
     """qname, rank: weighted PageRank; what nodes without edges hold is dealt to all.
 
     Stops when ranks move by less than tolerance in all, after `most` iterations, or after
     `fixed` ones if that is given. Edges are put by their source once and stay there: an iteration sends
-    ranks and sums only, and keeps the ranks, which are read twice, in one job that also tells how far they moved.
+    ranks and sums only. The ranks are kept in one job that also tells how far they moved, every few iterations where that isn't asked.
     """
     n = nodes.count()
     if not n:
@@ -43,6 +43,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tolerance:
         got = share.join(now.select(F.col("qname").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("qname")).agg(F.sum(F.col("p") * F.col("rank")).alias("got"))
         new = now.withColumnRenamed("rank", "old").join(got, "qname", "left").crossJoin(lost)
         new = new.select("qname", "dangling", (alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n) + (1 - alpha) / n).alias("rank"), "old")
+        if fixed is not None and k % every and k < fixed:
+            now = new.drop("old")
+            continue
         moved = Observation()
         now = cut(new.observe(moved, F.sum(F.abs(F.col("rank") - F.col("old"))).alias("by")).drop("old").repartition(parts, "qname"))
         if fixed is None and (moved.get["by"] or 0.0) < tolerance:
