@@ -90,6 +90,28 @@ def test_training_texts_are_bounded_in_all(spark, monkeypatch):
     assert 500 < sum(map(len, few)) <= 1000 and set(few) < set(every) and len(every) == 51 and set(y) == {0, 1}
 
 
+def test_training_leaves_the_driver_alone(spark, monkeypatch):
+    """The texts are trained on in a task, and the model is the one that their sorted list gives."""
+    words = ["".join(chr(97 + (i * j) % 26) for j in range(3, 8)) for i in range(1, 60)]
+    rows = [(i, " ".join(words[(i * k) % 59] for k in range(1, 30)) + (" vile" * 3 if i % 3 == 0 else "")) for i in range(120)] + [(5, "said twice")] * 2
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id bigint, toxic int")
+    sample = sorted({(i, int(i % 3 == 0), t) for i, t in rows})
+    want = toxicity.fitted_on([t for _, _, t in sample], [y for _, y, _ in sample])
+
+    def here(*_, **__):
+        raise AssertionError("trained by the driver")
+
+    monkeypatch.setattr(toxicity, "train", here)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = toxicity.fitted(docs.repartition(3), labels)
+    assert np.allclose(got.weights, want.weights, atol=1e-6) and (got.bias, got.threshold) == pytest.approx((want.bias, want.threshold))  # BLAS has other threads there
+    with pytest.raises(AssertionError, match="trained by the driver"):
+        toxicity.fitted_on([t for _, _, t in sample], [y for _, y, _ in sample])
+    monkeypatch.undo()
+    none = toxicity.fitted(docs.limit(0), labels)
+    assert none.bias == -10.0 and not none.weights.any()
+
+
 def test_a_written_table_can_be_forgotten(spark):
     import os
 
