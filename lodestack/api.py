@@ -45,4 +45,4 @@ def hybrid_context(spark: SparkSession, root: str, query: str | DataFrame, top_k
 def build_structural_context(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """path, outline of source texts in a table."""
     rows = files.select(F.col(path).cast("string").alias("path"), F.col(text).alias("text"))
-    return parse.parsed(code.from_rows(rows)).select("path", "outline")
+    return parse.outlines(parse.parsed(code.from_rows(rows)))

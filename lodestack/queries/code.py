@@ -155,7 +155,7 @@ def class_refs(spark, sf_dir):
 SELECT path, 'Docstring: Módulo of ' || n_name || '.' || chr(10) || 'Imports:' || chr(10) || '  import os' || chr(10) || '  from collections import OrderedDict as od' || chr(10) || 'Classes:' || chr(10) || c || coalesce(chr(10) || 'Functions:' || f, '') AS outline
 FROM h JOIN nation ON 'm' || CAST(n_nationkey AS VARCHAR) || '.py' = path""")
 def outline(spark, sf_dir):
-    return parsed(spark, sf_dir).select("path", "outline")
+    return parse.outlines(parsed(spark, sf_dir))
 
 
 #: fe: a row a function with its features; ba: with its base score. Shapes are those of the corpus' few kinds of bodies.
