@@ -76,9 +76,12 @@ def base_score(f: dict[str, Column] | None = None) -> Column:
 
 
 def features(symbols: DataFrame, ranks: DataFrame, tfidf: DataFrame, api: DataFrame) -> DataFrame:
-    """qname with the six features; ranks over their maximum, missing ones 0."""
+    """qname with the six features; ranks over their maximum, missing ones 0.
+
+    To 12 digits: what the order of summing leaves beyond them would decide how scores are rounded that lie on a half.
+    """
     top = F.broadcast(ranks.agg(F.max("rank").alias("__top")))
-    pr = ranks.crossJoin(top).select("qname", F.when(F.col("__top") > 0, F.col("rank") / F.col("__top")).otherwise(0.0).alias("pr"))
+    pr = ranks.crossJoin(top).select("qname", F.when(F.col("__top") > 0, rounded(F.col("rank") / F.col("__top"), 12)).otherwise(0.0).alias("pr"))
     own = symbols.select("qname", "loc", "cc", structure_richness(F.col("struct_pairs"), F.col("struct_size")).alias("struct"))
     joined = own.join(pr, "qname", "left").join(tfidf, "qname", "left").join(api, "qname", "left")
     return joined.fillna(0.0, ["pr", "tfidf", "struct", "api"])
