@@ -32,13 +32,13 @@ def file_documents(parsed: DataFrame, variables: bool = False) -> DataFrame:
     qname = F.concat_ws("::", "module", "name")
     ids = F.slice(F.transform(F.coalesce("body_identifiers", F.array().cast("array<string>")), F.lower), 1, IDENTIFIER_CAP)
     bag = F.concat(T.normalized("name"), T.normalized(qname), T.normalized("body_docstring"), ids, T.normalized("signature"))
-    return one.select("path", "module", "kind", "name", qname.alias("qname"), "ord", "start_byte", "end_byte", "lineno", "end_lineno", "signature", F.nullif("body_docstring", F.lit("")).alias("docstring"), "body_calls", bag.alias("tokens"), F.concat_ws("#", "path", F.format_string("%08d", "ord")).alias("doc_id"))
+    return one.select("path", "module", "kind", "name", qname.alias("qname"), "ord", "start_byte", "end_byte", "lineno", "end_lineno", "signature", F.nullif("body_docstring", F.lit("")).alias("docstring"), "body_calls", "code", bag.alias("tokens"), F.concat_ws("#", "path", F.format_string("%08d", "ord")).alias("doc_id"))
 
 
-def semantic_rerank(pool: DataFrame, docs: DataFrame, sources: DataFrame, queries: DataFrame, encode: embed.Encoder) -> DataFrame:
+def semantic_rerank(pool: DataFrame, docs: DataFrame, queries: DataFrame, encode: embed.Encoder) -> DataFrame:
     """pool (query_id, doc_id, score, rank) with score half the old one and half the cosine to the query's vector, ranked anew."""
-    some = pool.select("doc_id").distinct().join(docs, "doc_id").join(sources.select("path", "src"), "path")
-    shown = embed.document_text(F.col("qname"), F.col("signature"), F.col("docstring"), F.substring("src", F.col("start_byte") + 1, F.col("end_byte") - F.col("start_byte")))
+    some = pool.select("doc_id").distinct().join(docs, "doc_id")
+    shown = embed.document_text(F.col("qname"), F.col("signature"), F.col("docstring"), F.encode("code", "UTF-8"))
     dv = embed.embedded(some.select("doc_id", shown.alias("text")), "doc_id", "text", encode).withColumnRenamed("v", "dv")
     qv = embed.embedded(queries.select("query_id", "query"), "query_id", "query", encode).withColumnRenamed("v", "qv")
     both = pool.drop("rank").join(dv, "doc_id").join(qv, "query_id").withColumn("similarity", T.cosine(F.col("qv"), F.col("dv")))
@@ -67,21 +67,24 @@ def from_files(parsed: DataFrame, sources: DataFrame, queries: DataFrame, top_k:
     most = max(1, prefilter if encode else min(prefilter, top_k))
     pool = bm25.top_k(bm25.okapi(asked, docs, every=True, top=most), most).filter(F.col("rank") <= prefilter)
     if encode:
-        pool = semantic_rerank(pool, docs, sources, queries, encode)
+        pool = semantic_rerank(pool, docs, queries, encode)
     pool = pool.filter(F.col("rank") <= top_k)
     seeds = pool.select("query_id", F.col("doc_id").alias("qname"), F.col("rank").alias("pos"), "score")
     calls = call_basenames(docs)
-    edges = calls.join(docs.select("path", F.col("name").alias("callee"), F.col("doc_id").alias("dst")), ["path", "callee"]).select("src", "dst", "ord", "callee")
+    # a walk looks at no more matches of a callee than its list has room for: a name's first definitions are enough
+    targets = docs.select("path", F.col("name").alias("callee"), F.col("doc_id").alias("dst"))
+    targets = select.first_k(targets, ["path", "callee"], max(0, top_k) + max(0, max_add), ["dst"])
+    edges = calls.join(targets, ["path", "callee"]).select("src", "dst", "ord", "callee")
     chosen = graph.expanded(seeds, edges, depth, max_add).join(seeds.select("query_id", "qname", "score"), ["query_id", "qname"], "left")
     rows = chosen.withColumnRenamed("qname", "doc_id").join(docs.drop("tokens", "body_calls"), "doc_id")
-    spans = rows.groupBy("query_id", "path").agg(F.array_sort(F.collect_list(F.struct(F.col("start_byte").alias("start"), F.col("end_byte").alias("end")))).alias("spans"))
-    every_file = queries.select("query_id").crossJoin(sources.select("path")).join(spans, ["query_id", "path"], "left")
-    asked_files = (every_file if top_k <= 0 else spans).select("query_id", "path", "spans").join(sources.select("path", "src"), "path")
-    keyed = asked_files.select(F.to_json(F.struct("query_id", "path")).alias("path"), "src", "spans")
-    pieces = chunk.chunked(keyed, hard_cap, soft_cap, tokens).join(keyed.select("path", "src"), "path")
-    code = pieces.select(F.get_json_object("path", "$.query_id").alias("q"), F.get_json_object("path", "$.path").alias("p"), chunk.stitched(F.col("src"), F.col("pieces")).alias("code")).groupBy("q").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "code"))), lambda x: x["code"]), "\n").alias("code"))
+    if top_k <= 0:
+        parts = queries.select("query_id").crossJoin(sources.select("path", F.rtrim(F.decode("src", "UTF-8"), F.lit("\n")).alias("code")))
+    else:
+        spans = F.collect_list(F.struct(F.col("start_byte").alias("start"), F.col("end_byte").alias("end"), F.col("code").alias("text")))
+        parts = chunk.code_of(rows.groupBy("query_id", "path").agg(spans.alias("spans")), ["query_id", "path"], hard_cap, soft_cap, tokens)
+    code = parts.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "code"))), lambda x: x["code"]), "\n").alias("code"))
     nodes = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", node(F.col("score")).alias("node")))).alias("n")).select("query_id", F.transform("n", lambda x: x["node"]).alias("nodes"))
-    whole = queries.select("query_id").join(nodes, "query_id", "left").join(code.withColumn("query_id", F.col("q").cast(queries.schema["query_id"].dataType)), "query_id", "left")
+    whole = queries.select("query_id").join(nodes, "query_id", "left").join(code, "query_id", "left")
     return whole.select("query_id", F.to_json(envelope(F.coalesce("nodes", F.array().cast("array<struct<type:string,name:string,qname:string,module:string,path:string,lineno:int,end_lineno:int,signature:string,docstring:string,score:double>>")), "code")).alias("payload"))
 
 
