@@ -15,7 +15,7 @@ from ..operators import bm25, chunk, embed, features, graph, parse, rank, select
 from ..operators.tables import cut
 from ..sources.code import file_module
 
-IDENTIFIER_CAP, BODY_CAP, CLASS_CAP = 256, 120, 10
+BODY_CAP, CLASS_CAP = 120, 10
 NODE = ("type", "name", "qname", "module", "path", "lineno", "end_lineno", "signature", "docstring", "score")
 
 
@@ -30,7 +30,7 @@ def file_documents(parsed: DataFrame, variables: bool = False) -> DataFrame:
         one = one.unionByName(own, allowMissingColumns=True)
     one = one.withColumn("module", file_module(F.col("path"))).withColumn("body_calls", F.coalesce("body_calls", F.array().cast("array<string>")))
     qname = F.concat_ws("::", "module", "name")
-    ids = F.slice(F.transform(F.coalesce("body_identifiers", F.array().cast("array<string>")), F.lower), 1, IDENTIFIER_CAP)
+    ids = F.transform(F.coalesce("body_identifiers", F.array().cast("array<string>")), F.lower)
     bag = F.concat(T.normalized("name"), T.normalized(qname), T.normalized("body_docstring"), ids, T.normalized("signature"))
     return one.select("path", "module", "kind", "name", qname.alias("qname"), "ord", "start_byte", "end_byte", "lineno", "end_lineno", "signature", F.nullif("body_docstring", F.lit("")).alias("docstring"), "body_calls", "code", bag.alias("tokens"), F.concat_ws("#", "path", F.format_string("%08d", "ord")).alias("doc_id"))
 

@@ -71,3 +71,10 @@ def test_code_of_spans_is_that_of_the_file(spark):
         cut = chunk.chunked(df.withColumn("spans", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))), *caps).join(df.select("path", "src"), "path")
         want = {r[0]: r[1] for r in cut.select("path", chunk.stitched(F.col("src"), F.col("pieces")).alias("code")).collect()}
         assert {r["path"]: r["code"] for r in chunk.code_of(df, ["path"], *caps).collect()} == want
+
+
+def test_words_far_into_a_text_are_found(spark):
+    source = "def f(a):\n" + "".join(f"    x_{i} = y_{i}\n" for i in range(400)) + "\ndef g(b):\n    return b\n"
+    files = spark.createDataFrame([("m.py", "m.py", source.encode())], "path string, module string, src binary")
+    docs = {r["name"]: r["tokens"] for r in payload.file_documents(parse.parsed(files)).collect()}
+    assert {f"{c}_{i}" for c in "xy" for i in range(400)} <= set(docs["f"])
