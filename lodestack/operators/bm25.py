@@ -31,6 +31,7 @@ class _Asked:
     def __init__(self, rows: list[tuple]):
         self.keys = [k for k, _ in rows]
         self.terms = list(dict.fromkeys(t for _, ts in rows for t in ts))
+        self.values = pa.array(self.terms, pa.string())
         of = {t: i for i, t in enumerate(self.terms)}
         self.blocks = []
         for lo in range(0, len(rows), QUERIES):
@@ -42,9 +43,9 @@ class _Asked:
             self.blocks.append((lo, used, times))
 
     def places(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each row's tokens that are terms, the row and the term; the number of tokens of each row."""
+        """Of each row's tokens that are terms, the row and the term; the number of tokens of each row. For DOCS rows at a time: the numbers take more room than the texts."""
         n = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        term = pc.index_in(tokens.flatten(), value_set=pa.array(self.terms, tokens.type.value_type)).fill_null(-1).to_numpy()
+        term = pc.index_in(tokens.flatten(), value_set=self.values.cast(tokens.type.value_type)).fill_null(-1).to_numpy()
         row = np.repeat(np.arange(len(n)), n)
         return row[term >= 0], term[term >= 0].astype(np.int64), n
 
@@ -76,10 +77,11 @@ def _counted(docs: DataFrame, asked: _Asked, tokens: str) -> tuple[np.ndarray, i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, totals = np.zeros(len(asked.terms), np.int64), np.zeros(3, np.int64)
         for b in batches:
-            row, term, n = asked.places(b.column(0))
-            pairs = np.unique(row * len(asked.terms) + term)
-            df += np.bincount(pairs % max(1, len(asked.terms)), minlength=len(df))
-            totals += (len(n), n.sum(), np.maximum(n, 1).sum())
+            for lo in range(0, b.num_rows, DOCS):
+                row, term, n = asked.places(b.column(0).slice(lo, DOCS))
+                pairs = np.unique(row * len(asked.terms) + term)
+                df += np.bincount(pairs % max(1, len(asked.terms)), minlength=len(df))
+                totals += (len(n), n.sum(), np.maximum(n, 1).sum())
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((at, [-1, -2, -3]))), pa.array(np.concatenate((df[at], totals)))], names=["t", "n"])
 
@@ -130,9 +132,9 @@ def _scored(docs: DataFrame, asked: _Asked, idf: np.ndarray, average: float, k1:
             return q[ok], [c.take(pa.array(ok)) for c in docs_of], s[ok]
 
         for x in batches:
-            row, term, n = asked.places(x.column(len(columns)))
             for lo in range(0, x.num_rows, DOCS):
-                for first, tf, times, score in asked.products(row, term, n, lo, min(lo + DOCS, x.num_rows), idf, average, k1, b):
+                row, term, n = asked.places(x.column(len(columns)).slice(lo, DOCS))
+                for first, tf, times, score in asked.products(row, term, n, 0, len(n), idf, average, k1, b):
                     some = np.ones(score.shape, bool) if every else (tf > 0).astype(np.float32) @ (times > 0).astype(np.float32) > 0
                     if over is not None:
                         score = score / over[first : first + score.shape[1]]
@@ -226,10 +228,10 @@ def ranks_of(queries: DataFrame, docs: DataFrame, chosen: DataFrame, query_key:
         def count(batches: Iterator[pa.RecordBatch], asked=asked, idf=idf, average=average, over=over, marks=marks) -> Iterator[pa.RecordBatch]:
             before = [np.zeros(len(m[0]) + 1, np.int64) for m in marks]
             for x in batches:
-                row, term, size = asked.places(x.column(1))
                 ids = x.column(0).to_numpy()
                 for lo in range(0, x.num_rows, DOCS):
-                    for first, score in asked.scores(row, term, size, lo, min(lo + DOCS, x.num_rows), idf, average, k1, b):
+                    row, term, size = asked.places(x.column(1).slice(lo, DOCS))
+                    for first, score in asked.scores(row, term, size, 0, len(size), idf, average, k1, b):
                         whole = -np.floor(score / over[first : first + score.shape[1]] * scale + 0.5).astype(np.int64)
                         for j in range(whole.shape[1]):
                             values, keys = marks[first + j]
